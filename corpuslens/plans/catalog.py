@@ -203,8 +203,8 @@ _BANDS = ", ".join(f"'{b}' || " + " || ".join(f"',' || min(substr(sha256('{p}:'
 
 
 @query(f"""WITH RECURSIVE t AS (SELECT doc_id, unnest(t) AS w, unnest(range(0, len(t))) AS i, len(t) AS n FROM (SELECT doc_id, {TOKENS_SQL} AS t FROM documents)),
-    g AS (SELECT *, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)), s AS (SELECT DISTINCT doc_id, CASE WHEN n < 3 THEN w ELSE w || ' ' || w2 || ' ' || w3 END AS s FROM g WHERE n < 3 OR w3 IS NOT NULL),
-    z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), b AS (SELECT doc_id, unnest([{_BANDS}]) AS band FROM s GROUP BY doc_id), c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y ON x.band = y.band AND x.doc_id < y.doc_id),
+    g AS (SELECT *, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)), s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN n < 3 THEN w ELSE w || ' ' || w2 || ' ' || w3 END AS s FROM g WHERE n < 3 OR w3 IS NOT NULL),
+    z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), b AS MATERIALIZED (SELECT doc_id, unnest([{_BANDS}]) AS band FROM s GROUP BY doc_id), c AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y ON x.band = y.band AND x.doc_id < y.doc_id),
     l AS (SELECT a, b FROM (SELECT c.a, c.b, count(*) AS m FROM c JOIN s x ON c.a = x.doc_id JOIN s y ON c.b = y.doc_id AND x.s = y.s GROUP BY 1, 2) JOIN z p ON a = p.doc_id JOIN z q ON b = q.doc_id WHERE least(p.n, q.n) >= 0.7 * greatest(p.n, q.n) AND m >= 0.72 * (p.n + q.n - m)),
     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT doc_id AS node, doc_id AS top FROM documents UNION SELECT e.b, r.top FROM r JOIN e ON r.node = e.a),
     f AS (SELECT node AS doc_id, min(top) AS family FROM r GROUP BY 1) SELECT doc_id, family, count(*) OVER (PARTITION BY family) AS members FROM f""")
