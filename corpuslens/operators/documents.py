@@ -174,7 +174,7 @@ def near_duplicate_families(docs: DataFrame, ident: str, tokens: Column, *, band
     Equal sets are merged first, so copies cost no pair; distinct sets are joined by the bucket's key (an
     equi-join, split where skewed), so a bucket is no task's array.
     """
-    rows_ = docs.select(F.col(ident).alias("id"), tokens.alias("t"))
+    rows_ = cut(docs.select(F.col(ident).alias("id"), tokens.alias("t")))
     sets = rows_.select("id", F.array_sort(T.shingles(F.col("t"))).alias("s"))
     keyed = sets.withColumn("same", F.sha2(F.to_json("s"), 256)).where(F.size("s") > 0)
     reps = cut(keyed.groupBy("same").agg(F.min("id").alias("rep"), F.first("s").alias("s")))
