@@ -5,7 +5,7 @@ its character-trigram vectors (hashed into buckets). Both directions of a gated
 window of words; attention pools their states and a logistic unit scores the window. A text is scored over
 all its windows, each overlapping the next by eight words, and has the score of its worst window.
 
-Training runs on the driver over a bounded sample of labelled rows: the ``sample`` first labelled texts by a
+Training runs in one task over a bounded sample of labelled rows: the ``sample`` first labelled texts by a
 seeded hash, of at most ``longest`` bytes each. Windows of clean texts are clean; of a toxic text the window
 that scores highest counts as toxic (after a first pass that takes them all), so the label of a long text
 teaches its toxic part. The trained weights are a few MB whatever the corpus.
@@ -20,6 +20,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -276,9 +277,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     order = F.xxhash64(F.lit(11), F.col("i"))
     # the ids first, so that only the sample's texts travel
     chosen = texts.select("i").join(asked, "i").select("i", "y").distinct().orderBy(order, "i").limit(sample)
-    rows = texts.join(chosen, "i").select("i", "t", "y").collect()
-    rows.sort(key=lambda r: (r.i, r.t))
-    return train([r.t.encode() for r in rows], np.array([r.y for r in rows]) == 1)
+    rows = texts.join(chosen, "i").select(F.lit(0).alias("all"), "i", "t", "y")
+
+    def trained(group: pa.Table) -> pa.Table:
+        taken = sorted(zip(*(group.column(c).to_pylist() for c in ("i", "t", "y")), strict=True))
+        network = train([t.encode() for _, t, _ in taken], np.array([y for _, _, y in taken]) == 1)
+        return pa.table({"network": pa.array([pickle.dumps(network)], pa.binary())})
+
+    # one task, as the sample is bounded: a lost executor costs a retry, and the driver holds the weights alone
+    found = rows.groupBy("all").applyInArrow(trained, "network binary").first()
+    return train([], np.zeros(0, bool)) if found is None else pickle.loads(found.network)
 
 
 def score(docs: DataFrame, network: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
