@@ -24,10 +24,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id, once; rows without an id stay."""
     judged = forest.near_duplicates(docs, width=5, least=80)
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    named, nameless = kept.where("doc_id IS NOT NULL"), kept.where("doc_id IS NULL")
-    return named.dropDuplicates(["doc_id"]).unionByName(nameless)
+    # one small row an id; texts are shuffled only where an id repeats
+    ids = judged.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.bool_and("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    ids = written(ids.where("NOT stays OR n > 1"), "decided")
+    kept = docs.join(ids.where("NOT stays OR n > 1"), F.col("doc_id") == F.col("id"), "left_anti")
+    repeated = ids.where("stays AND n > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(docs.join(repeated, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
+    return kept
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.hashing import bound_batches, mix, small_batches, shingles, words
 from corpuslens.operators.components import connected_components
-from corpuslens.plans.lineage import cut, written
+from corpuslens.plans.lineage import cut, drop_table, table_path, written
 
 #: A region this small is not divided further.
 SMALL = 32
@@ -151,14 +151,19 @@ def _neighbours(classes: DataFrame, trees: int, depth: int) -> DataFrame:
             edge += bounds(held_key, held_id, 1)
             yield pa.RecordBatch.from_pylist(edge, schema=schema)
 
-    scanned = written(rows.mapInArrow(scan, "a long, b long, votes long, edge int, pid int, key binary").where("a <> b OR b IS NULL"), "neighbours")
+    path = table_path(rows.sparkSession, "neighbours")
+    scan_rows = rows.mapInArrow(scan, "a long, b long, votes long, edge int, pid int, key binary").where("a <> b OR b IS NULL")
+    scan_rows.write.option("compression", "zstd").parquet(path)
+    scanned = rows.sparkSession.read.schema(scan_rows.schema).parquet(path)
     inside = scanned.where("edge IS NULL").select("a", "b", "votes")
     # the last rows of a task meet the first of the next one: a few rows a task
     tail = scanned.where("edge = 1").select((F.col("pid") + 1).alias("pid"), F.col("a").alias("x"), F.col("key").alias("xk"))
     ahead = scanned.where("edge = 0").select("pid", F.col("a").alias("y"), F.col("key").alias("yk"))
     across = tail.join(ahead, "pid").where((F.substring("xk", 1, 12) == F.substring("yk", 1, 12)) & (F.col("x") != F.col("y")))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(2).cast("long").alias("votes"))
-    return inside.unionByName(across).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    pairs = written(inside.unionByName(across).groupBy("a", "b").agg(F.sum("votes").alias("votes")), "pairs")
+    drop_table(rows.sparkSession, path)  # the pairs are safe in the shared folder, so nothing reads it again
+    return pairs
 
 
 def _id_filter(ids: DataFrame, *, bits_each: int = 16, most_bits: int = 1 << 27):
@@ -225,7 +230,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = written(_signed(texts, width, trees, depth), "signed")
     classes = signed.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
-    pairs = written(_neighbours(classes.select("id", "signature"), trees, depth), "pairs")
+    pairs = _neighbours(classes.select("id", "signature"), trees, depth)
 
     # full sets of the classes that have a candidate, made again from their texts, which are not shuffled:
     # a filter of bounded size tells the tasks which ids may be among them
