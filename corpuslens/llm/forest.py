@@ -14,9 +14,13 @@
    each component's best candidate outside it, then every candidate left whose ends are still in
    different components. Links inside a component change nothing, so nothing is lost by not confirming
    them. Components are the connected ones over confirmed links.
-
-Two classes of similarity s share a prefix of two in at least one tree with probability
-1 - (1 - s^2)^trees: at s = 0.8 and 12 trees, 0.999995.
+5. The trees leave links out where many texts below the bound crowd a region. What is left is exact: two
+   sets can only be a link if they share one of their first shingles in any common order (a prefix filter:
+   the first n - ceil(s n) + 1 of the larger set, the first n - ceil(2 s n / (1 + s)) + 1 of the smaller
+   one). The order is rare shingles first, by counts in a bounded number of buckets, so that a passage that
+   many texts share comes last; it decides the work, not the result. Shingles seen in one component only
+   are left out, places bound what two sets can share, and the pairs that remain, all between different
+   components of step 4, are confirmed on full sets.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is alone; a text of
 fewer words than a shingle is one shingle; repeated ids are grouped as one document each time they
@@ -42,6 +46,8 @@ from corpuslens.plans.lineage import cut, drop_table, table_path, written
 SMALL = 32
 #: Neighbours behind a row in the sorted order.
 BEHIND = 2
+#: Counts of shingles by hash that order them from rare to common, and how many of them are one row.
+BUCKETS, PART = 1 << 16, 1 << 12
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -198,6 +204,118 @@ def _id_filter(ids: DataFrame, *, bits_each: int = 16, most_bits: int = 1 << 27)
     return has
 
 
+def _counts(texts: DataFrame, some, width: int) -> np.ndarray:
+    """Shingles of the texts whose ids pass ``some``, each text's counted once, by bucket of the hash."""
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(BUCKETS, np.int64)
+        for whole in rows:
+            for batch in small_batches(whole.filter(pa.array(some(whole.column("id").to_numpy())))):
+                sets = list(shingle_sets(batch, width))
+                if sets:
+                    total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
+        parts = total.reshape(-1, PART)
+        group = np.full(len(parts), TaskContext.get().partitionId() % 32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(group), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "task", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x, np.int64) for x in group.column("n").to_pylist())
+        return pa.table({"part": group.column("part")[:1], "task": pa.array([0], pa.int64()), "n": pa.array([n.tobytes()], pa.binary())})
+
+    schema = "part long, task long, n binary"
+    found = texts.where("id IS NOT NULL").mapInArrow(count, schema).groupBy("part", "task").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).toArrow()
+    out = np.zeros((BUCKETS // PART, PART), np.int64)
+    for part, n in zip(found.column("part").to_pylist(), found.column("n").to_pylist(), strict=True):
+        out[part] = np.frombuffer(n, np.int64)
+    return out.reshape(-1)
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return ((s >> np.uint64(20)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _left_over(texts: DataFrame, classes: DataFrame, found: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b): every pair of class ids of different components of ``found`` (n, component) that the prefix filter lets pass."""
+    spark = texts.sparkSession
+    component = classes.join(found, F.col("id") == F.col("n"), "left").select(F.col("id").alias("of_id"), F.col("class").alias("of_class"), F.coalesce("component", "id").alias("component"))
+    ids = classes.select("id")
+    some = _id_filter(ids)
+    sent = spark.sparkContext.broadcast(_counts(texts, some, width))
+    up = lambda x: int(np.ceil(x - 1e-9))
+
+    def first_ones(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
+        for whole in rows:
+            for batch in small_batches(whole.filter(pa.array(some(whole.column("id").to_numpy())))):
+                sizes, of, tokens = [], [], []
+                for s in shingle_sets(batch, width):
+                    sizes.append(len(s))
+                    of.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    order = np.lexsort((s, counts[_bucket(s)]))
+                    tokens.append(s[order[: len(s) - up(least * len(s) / 100) + 1]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(of, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["id", "class", "size", "tokens"])
+
+    firsts = texts.where("id IS NOT NULL").mapInArrow(first_ones, "id long, class binary, size long, tokens array<long>")
+    # copies are one row: only their class's own id stays, and a row that repeats it too counts once
+    firsts = firsts.join(component, (F.col("id") == F.col("of_id")) & (F.col("class") == F.col("of_class"))).select("id", "component", "size", "tokens")
+    firsts, firsts_path = _table(firsts, "firsts")
+    # shingles of one component only lead to no pair
+    shared = firsts.select("component", F.explode("tokens").alias("id")).groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("id")
+    shared = written(shared, "shared")
+    live = _id_filter(shared)
+
+    def spread(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            lists = batch.column("tokens")
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            token, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            on = live(token)
+            token, row, place = token[on], row[on], place[on]
+            n = batch.column("size").to_numpy()[row]
+            index = place < n - np.ceil(2 * least * n / (100 + least) - 1e-9) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(batch.column("id").to_numpy()[row]), pa.array(batch.column("component").to_numpy()[row]), pa.array(n - place), pa.array(n), pa.array(index)], names=["token", "id", "component", "after", "size", "index"])
+
+    rows, rows_path = _table(firsts.mapInArrow(spread, "token long, id long, component long, after long, size long, index boolean").distinct(), "postings")
+    drop_table(spark, firsts_path)
+    large = rows.select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "component", "after", "size")))
+    small = rows.where("index").select(F.col("token").alias("token_y"), *(F.col(c).alias(f"{c}_y") for c in ("id", "component", "after", "size")))
+    # of two sets of one size the smaller id is the smaller set
+    met = large.join(small, (F.col("token") == F.col("token_y")) & (F.col("component_x") != F.col("component_y")) & ((F.col("size_y") < F.col("size_x")) | ((F.col("size_y") == F.col("size_x")) & (F.col("id_y") < F.col("id_x")))))
+    met = met.where((100 * F.col("size_y") >= least * F.col("size_x")) & ((100 + least) * F.least("after_x", "after_y") >= least * (F.col("size_x") + F.col("size_y"))))
+    pairs = written(met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "left-over")
+    drop_table(spark, rows_path)
+    return pairs
+
+
+def _table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A written table and its path, for one that is dropped before the end."""
+    path = table_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _sets(texts: DataFrame, pairs: DataFrame, width: int, repeated: bool) -> tuple[DataFrame, str]:
+    """(id, hashes) and its path: full sets of the ids in ``pairs``, made again from their texts, which are not shuffled:
+    a filter of bounded size tells the tasks which ids may be among them."""
+    some = _id_filter(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+
+    def sets_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in rows:
+            ids = whole.column("id")
+            whole = whole.filter(pa.array(ids.is_valid().to_numpy(zero_copy_only=False) & some(ids.fill_null(0).to_numpy())))
+            for batch in small_batches(whole):
+                found = [s.tobytes() for s in shingle_sets(batch, width)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "hashes"])
+
+    sets = texts.mapInArrow(sets_of, "id long, hashes binary")
+    if repeated:
+        sets = sets.withColumn("same", F.xxhash64("hashes")).dropDuplicates(["id", "same"]).drop("same")
+    return _table(sets, "sets")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= least * union."""
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
@@ -232,23 +350,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = written(classes, "classes")
     pairs = _neighbours(classes.select("id", "signature"), trees, depth)
 
-    # full sets of the classes that have a candidate, made again from their texts, which are not shuffled:
-    # a filter of bounded size tells the tasks which ids may be among them
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    some = _id_filter(ends)
-
-    def sets_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in rows:
-            ids = whole.column("id")
-            whole = whole.filter(pa.array(ids.is_valid().to_numpy(zero_copy_only=False) & some(ids.fill_null(0).to_numpy())))
-            for batch in small_batches(whole):
-                found = [s.tobytes() for s in shingle_sets(batch, width)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "hashes"])
-
-    sets = texts.mapInArrow(sets_of, "id long, hashes binary")
-    if signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] not in (None, 1):  # repeated ids
-        sets = sets.withColumn("same", F.xxhash64("hashes")).dropDuplicates(["id", "same"]).drop("same")
-    sets = written(sets, "sets")
+    repeated = signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] not in (None, 1)  # ids
+    sets, sets_path = _sets(texts, pairs, width, repeated)
 
     both = lambda p, x, y: p.select(F.col(x).alias("x"), F.col(y).alias("y"), "a", "b", "votes").unionByName(p.select(F.col(y).alias("x"), F.col(x).alias("y"), "a", "b", "votes"))
     pick = lambda p, order: p.groupBy("x").agg(F.max_by(F.struct("a", "b"), order).alias("p")).select("p.a", "p.b")
@@ -270,6 +373,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if found is not None:
             links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         found = cut(connected_components(links))
+    drop_table(docs.sparkSession, sets_path)  # the links found are cut off from it
+    rest = _left_over(texts, classes, found.toDF("n", "component"), width, least)
+    if not rest.isEmpty():
+        sets, sets_path = _sets(texts, rest, width, repeated)
+        links = _confirmed(rest, sets, least)
+        found = cut(connected_components(links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        drop_table(docs.sparkSession, sets_path)
     found = found.toDF("n", "component")
 
     of_class = classes.join(found, F.col("id") == F.col("n"), "left").select(F.col("class").alias("of"), F.coalesce("component", "id").alias("component"))

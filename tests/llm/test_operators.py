@@ -100,6 +100,24 @@ def test_near_copies_in_a_large_group(spark):
     assert got == {i: top(i) for i in range(400)}
 
 
+def test_near_copies_among_many_texts_below_the_bound(spark):
+    """Pairs at 0.806 stand among texts that share a passage with them at 0.745."""
+    body = [f"b{k}" for k in range(300)]
+    texts = [" ".join(body + [f"u{i}x{k}" for k in range(51)]) for i in range(600)]  # shingles of one word: 300 shared, 51 of its own
+    texts += [" ".join(body + [f"p{i}x{k}" for k in range(16)] + [f"p{i}{side}{k}" for k in range(38)]) for i in range(30) for side in "lr"]
+    n = len(texts)
+    rows = [(i, texts[k]) for i, k in enumerate(np.random.default_rng(9).permutation(n))]
+    sets = [set(t.split()) for _, t in rows]
+    want = {i: i for i in range(n)}
+    for a, b in itertools.combinations(range(n), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            want[b] = want[a]
+    assert sum(want[i] != i for i in want) == 30
+    got = {r.doc_id: r.component_id for r in forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), width=1).collect()}
+    assert got == want
+
+
 def test_main_text():
     for page in main_text.LABELLED:
         inside = page.split("<!--main-->")[1].split("<!--/main-->")[0]
