@@ -2,7 +2,8 @@
 
 Inputs: every word is a learned word vector (words of the training texts; others zero) next to the mean of
 its character-trigram vectors (hashed into buckets). Both directions of a gated recurrent unit run over a
-window of words; attention pools their states and a logistic unit scores the window. A text is scored over
+window of words (a run of more than ``OVERLONG`` bytes without white space enters as several, see ``apart``);
+attention pools their states and a logistic unit scores the window. A text is scored over
 all its windows, each overlapping the next by eight words, and has the score of its worst window.
 
 Training runs in one task over a bounded sample of labelled rows: the ``sample`` first labelled texts by a
@@ -21,6 +22,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,10 @@ from corpuslens.llm.hashing import bound_batches, mix, small_batches, words
 
 WINDOW, STRIDE, STATE, WORD_DIMS, CHAR_DIMS, BUCKETS = 32, 24, 8, 8, 8, 1 << 14
 CHUNK = 1024
+#: Bytes from which a run without white space is taken apart; size and step of the pieces of what stays too long.
+OVERLONG, SIZE, STEP = 64, 16, 8
+_LONG = re.compile(rb"[^\x20\x09-\x0D]{%d,}" % (OVERLONG + 1))
+_MARKS = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Word vectors: the words of most training texts.
 VOCABULARY = 8192
 
@@ -41,14 +47,27 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def apart(text: bytes) -> bytes:
+    """The text with each overlong run as words: its parts between ASCII marks, and overlapping pieces of a part still too long."""
+
+    def pieces(run: re.Match) -> bytes:
+        parts = [x for x in _MARKS.split(run[0]) if x] or [run[0]]
+        cut = [[x] if len(x) <= OVERLONG else [x[k : k + SIZE] for k in range(0, len(x) - SIZE + STEP, STEP)] for x in parts]
+        return b" ".join(x for part in cut for x in part)
+
+    return _LONG.sub(pieces, text)
+
+
 class Words:
     """The distinct words of some texts: hashes (sorted), character-trigram buckets, and the index of every token."""
 
     def __init__(self, texts: list[bytes | None]) -> None:
         hashes, starts, ends, self.firsts, raw = words(texts)
+        if len(starts) and (ends - starts).max() > OVERLONG:
+            hashes, starts, ends, self.firsts, raw = words([apart(t) if t else t for t in texts])
         self.hashes, where, self.tokens = np.unique(hashes, return_index=True, return_inverse=True)
         data = np.frombuffer(raw, np.uint8)
-        lengths = np.minimum((ends - starts)[where], 64)  # trigrams of the first 64 bytes of a word
+        lengths = (ends - starts)[where]
         self.begins = np.cumsum(lengths) - lengths
         self.owner = np.repeat(np.arange(len(where)), lengths)
         data = np.frombuffer(raw.lower() + b"  ", np.uint8)

@@ -139,6 +139,21 @@ def test_toxicity_learns_words():
     assert worst[0] > worst[1:].max()
 
 
+def test_toxicity_reads_all_of_an_unspaced_text():
+    rng = np.random.default_rng(0)
+    make = lambda bad: " ".join([*(LOREM[k] for k in rng.integers(0, 300, 60)), *(["nasty", "Vile"] if bad else [])]).encode()
+    label = np.arange(600) % 4 == 0
+    net = toxicity.train([make(b) for b in label], label, passes=6)
+    head, clean, bad = LOREM[:30], LOREM[30:36], LOREM[30:34] + ["nasty", "Vile"]
+    for mark in ("_", "/", ""):
+        texts = [mark.join(head + tail).encode() for tail in (clean, bad)]
+        assert texts[0][:64] == texts[1][:64] and b" " not in texts[1]
+        w = toxicity.Words(texts)
+        index, of = w.windows()
+        worst = np.maximum.reduceat(net.logits(w, index), np.searchsorted(of, np.arange(2)))
+        assert worst[1] > worst[0], mark
+
+
 def test_toxicity_edge_cases(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.score_documents(docs, none).collect()
