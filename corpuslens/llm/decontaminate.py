@@ -2,7 +2,9 @@
 
 A seed is a fixed mask over consecutive words that looks at ``WEIGHT`` of them and ignores the others, so
 a hash of the words looked at survives substitutions at the ignored places. ``MASKS`` together catch every
-window of ``WINDOW`` words with up to two substitutions (shown by enumeration in the tests). Seeds of the
+window of ``WINDOW`` words with up to two substitutions (shown by enumeration in the tests). A shorter item
+is verified as a whole, and ``item_masks`` adds a mask of its length for each permitted pattern of
+substitutions that no other mask survives. Seeds of the
 benchmark are joined with seeds at every position of every training text; around each hit the text is
 laid along the item and the overlap is verified: some aligned window of ``WINDOW`` words (the whole item
 if it is shorter) must agree in at least ``similarity`` of its words.
@@ -10,13 +12,15 @@ if it is shorter) must agree in at least ``similarity`` of its words.
 The benchmark is cut into slices of bounded size; a slice's seeds are a sorted array that goes to the
 tasks, and a benchmark of any size is worked off slice by slice. Training texts are never shuffled.
 
-Defined results: null and empty texts and items match nothing; an item shorter than ``LEAST`` words is
-matched as a whole, word by word; repeated items and documents each give their rows; empty tables give
+Defined results: null and empty texts and items match nothing; an item too short for a substitution
+(under five words at 0.8) is matched word by word; repeated items and documents each give their rows; empty tables give
 an empty result; only A-Z is lower-cased; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.hashing import bound_batches, mix, small_batches, words
 
-WEIGHT, WINDOW, LEAST = 5, 13, 5
+WEIGHT, WINDOW = 5, 13
 #: Bytes of benchmark text in one slice.
 SLICE = 4 << 20
 #: 1: a word looked at; 0: a word that may differ.
@@ -43,6 +47,24 @@ def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+def survives(mask: str, gone: tuple[int, ...], length: int) -> bool:
+    """Whether the mask has a place in an item of ``length`` words where it looks at none of the words ``gone``."""
+    return any(all(m == "0" or i + k not in gone for k, m in enumerate(mask)) for i in range(length - len(mask) + 1))
+
+
+@functools.cache
+def item_masks(length: int, similarity: float) -> tuple[str, ...]:
+    """Masks of an item's own length for the permitted substitutions that ``MASKS`` don't survive."""
+    if length >= WINDOW:
+        return ()
+    most = max(s for s in range(length) if s == 0 or length - s >= similarity * length)
+    found: list[str] = []
+    for gone in itertools.combinations(range(length), most):
+        if not any(survives(mask, gone, length) for mask in (*MASKS, *found)):
+            found.append("".join("0" if k in gone else "1" for k in range(length)))
+    return tuple(found)
+
+
 class Slice:
     """The seeds of some items, sorted, with the item and place of each."""
 
@@ -50,11 +72,11 @@ class Slice:
         self.similarity = similarity
         kept = [(i, words([t.encode()])[0]) for i, t in items if t]
         self.items = [(i, h) for i, h in kept if len(h)]
-        # an item too short for the narrowest mask has a mask of its own length
-        self.masks = tuple(dict.fromkeys([*MASKS, *("1" * len(h) for _, h in self.items if len(h) < LEAST)]))
+        # an item shorter than the window has masks of its own length besides
+        self.masks = tuple(dict.fromkeys([*MASKS, *(mask for _, h in self.items for mask in item_masks(len(h), similarity))]))
         self.tables = {}
         for mask in self.masks:
-            found = [(seed_hashes(h, mask), k) for k, (_, h) in enumerate(self.items) if len(mask) >= LEAST or len(h) == len(mask)]
+            found = [(seed_hashes(h, mask), k) for k, (_, h) in enumerate(self.items) if mask in MASKS or mask in item_masks(len(h), similarity)]
             h = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
             item = np.concatenate([np.full(len(x), k) for x, k in found]) if found else np.zeros(0, int)
             place = np.concatenate([np.arange(len(x)) for x, _ in found]) if found else np.zeros(0, int)

@@ -192,6 +192,18 @@ def test_masks_catch_two_substitutions():
         assert any(all(ok[i + k] or m[k] == "0" for k in range(len(m))) for m in decontaminate.MASKS for i in range(decontaminate.WINDOW - len(m) + 1))
 
 
+def test_short_items_are_found_under_every_permitted_substitution():
+    for n in range(1, decontaminate.WINDOW):
+        part = decontaminate.Slice([(1, " ".join(LOREM[:n]))], 0.8)
+        most = max(s for s in range(n) if s == 0 or n - s >= 0.8 * n)
+        for gone in itertools.combinations(range(n), most):
+            text = " ".join(["before", *("zz" if k in gone else w for k, w in enumerate(LOREM[:n])), "after"])
+            assert part.matches(words([text.encode()])[0]) == [(0, 1, n, n - most)], (n, gone)
+        if most < n - 1:
+            text = " ".join("zz" if k <= most else w for k, w in enumerate(LOREM[:n]))
+            assert part.matches(words([text.encode()])[0]) == []
+
+
 def test_decontamination(spark):
     item = LOREM[:40]
     bent = [w if k % 9 else "zz" for k, w in enumerate(item)]
