@@ -11,9 +11,8 @@
    paired too.
 4. Candidate pairs are confirmed on full sets, in rounds: first each class with its best candidate (most
    prefix shared over all trees) and with its candidate that most classes have (a region's head), then
-   each component's best candidate outside it, then every candidate left whose ends are still in
-   different components. Links inside a component change nothing, so nothing is lost by not confirming
-   them. Components are the connected ones over confirmed links.
+   each component's best candidate outside it. Links inside a component change nothing, so nothing is
+   lost by not confirming them. Components are the connected ones over confirmed links.
 5. The trees leave links out where many texts below the bound crowd a region. What is left is exact: two
    sets can only be a link if they share one of their first shingles in any common order (a prefix filter:
    the first n - ceil(s n) + 1 of the larger set, the first n - ceil(2 s n / (1 + s)) + 1 of the smaller
@@ -360,20 +359,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hubs = directed.join(degree, F.col("y") == F.col("hub"))
     chosen = pick(directed, F.struct("votes", -F.col("y"))).unionByName(pick(hubs, F.struct("degree", -F.col("y"))))
     found = None
-    for turn in ("each class", "each component", "the rest"):
+    for _ in ("each class", "each component"):
         if found is not None:
             label = lambda side: found.select(F.col("node").alias(f"n{side}"), F.col("component").alias(f"c{side}"))
             cross = pairs.join(label("a"), F.col("a") == F.col("na"), "left").join(label("b"), F.col("b") == F.col("nb"), "left")
             cross = cross.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb").select("a", "b", "votes", "ca", "cb")
             pairs = written(cross.join(chosen.toDF("pa", "pb"), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti"), "pairs")
-            chosen = pairs.select("a", "b") if turn == "the rest" else pick(both(pairs, "ca", "cb"), F.struct("votes", -F.col("y")))
-            pairs = pairs.select("a", "b", "votes")
+            chosen = pick(both(pairs, "ca", "cb"), F.struct("votes", -F.col("y")))
         chosen = cut(chosen.distinct())
         links = _confirmed(chosen, sets, least)
         if found is not None:
             links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         found = cut(connected_components(links))
     drop_table(docs.sparkSession, sets_path)  # the links found are cut off from it
+    # candidates of the trees not confirmed yet are among these, if they are links
     rest = _left_over(texts, classes, found.toDF("n", "component"), width, least)
     if not rest.isEmpty():
         sets, sets_path = _sets(texts, rest, width, repeated)
