@@ -4,27 +4,28 @@
    thousands of exact copies cost one row each and no pair.
 2. Each class gets ``trees`` signatures of ``depth`` min-hashes. A tree is a sorted order of all
    signatures, dealt over tasks by range, so a hot region is split wherever it is long.
-3. Candidates of a class in a tree are its neighbours in that order: those next to it with the longest
-   common prefix, and the head of its region. The depth of a region adapts to it: a region is the
-   longest shared prefix while it is small, and goes on to deeper prefixes only where many signatures
-   agree. Candidates are linear in the rows of each tree. Neighbours across the bounds of two tasks are
-   paired too.
-4. Candidate pairs are confirmed on full sets, in rounds: first each class with its best candidate (most
-   prefix shared over all trees) and with its candidate that most classes have (a region's head), then
-   each component's best candidate outside it. Links inside a component change nothing, so nothing is
-   lost by not confirming them. Components are the connected ones over confirmed links.
-5. The trees leave links out where many texts below the bound crowd a region. What is left is exact: two
-   sets can only be a link if they share one of their first shingles in any common order (a prefix filter:
-   the first n - ceil(s n) + 1 of the larger set, the first n - ceil(2 s n / (1 + s)) + 1 of the smaller
-   one). The order is rare shingles first, by counts in a bounded number of buckets, so that a passage that
-   many texts share comes last; it decides the work, not the result. Shingles seen in one component only
-   are left out, places bound what two sets can share, and the pairs that remain, all between different
-   components of step 4, are confirmed on full sets.
+3. A region is a run of rows that share a prefix. The depth adapts to it: a region of two hashes is compared
+   wholly while it has at most ``SMALL`` rows; where more rows crowd it, it goes on to three hashes: each row
+   meets its ``BEHIND`` neighbours there of longest common prefix, and one row that stands for the region, the
+   first of its longest run of equal signatures. Rows of crowded regions, and of the regions that the bounds of
+   a task cut, are remembered as crowded. Candidates are linear in the rows of each tree.
+4. Of each class's candidates, that with most prefix in common, that which stands for its regions in most trees
+   and the smallest one are confirmed on full sets, which joins most copies into components. Links inside a
+   component change nothing, so what remains are candidates between components.
+5. Candidates of wholly compared regions are all confirmed. A link in which no tree has a wholly compared
+   region in common is between two crowded rows (but for 0.36 ** trees, when no prefix is shared at all). For
+   crowded rows the search is exact: two sets can only be a link if they share one of their first shingles in
+   any common order (a prefix filter: the first n - ceil(s n) + 1 of the larger set, the first
+   n - ceil(2 s n / (1 + s)) + 1 of the smaller one). The order is rare shingles first, by counts in a bounded
+   number of buckets, so a passage that many texts share comes last; it decides the work, not the result.
+   Shingles of one component only are left out, places bound what two sets can share, and what remains is
+   confirmed on full sets. Components are the connected ones over all confirmed links.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is alone; a text of
 fewer words than a shingle is one shingle; repeated ids are grouped as one document each time they
-appear (a component's id is the smallest id in it); null ids are dropped from groups but keep their row,
-alone; an empty table gives an empty result; other columns are ignored.
+appear (a component's id is the smallest id in it); a row with a null id stays alone, with a null component,
+and is kept; ids that are no whole numbers are refused (TypeError); an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,17 +37,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from corpuslens.llm.hashing import bound_batches, mix, small_batches, shingles, words
+from corpuslens.llm.hashing import bound_batches, lean, mix, shingles, small_batches, words
+from corpuslens.llm.sieve import id_filter
 from corpuslens.operators.components import connected_components
-from corpuslens.plans.lineage import cut, drop_table, table_path, written
+from corpuslens.plans.lineage import cut, drop_table, table_path
 
-#: A region this small is not divided further.
-SMALL = 32
-#: Neighbours behind a row in the sorted order.
+#: A region of at most so many rows is compared wholly.
+SMALL = 8
+#: Neighbours behind a row in a crowded region.
 BEHIND = 2
-#: Counts of shingles by hash that order them from rare to common, and how many of them are one row.
-BUCKETS, PART = 1 << 16, 1 << 12
+#: Counts of shingles by hash that order them from rare to common.
+BUCKETS = 1 << 16
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -56,8 +59,8 @@ def _seeds(n: int) -> np.ndarray:
 def signature(sets: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Minimum over the set of each seeded hash, 32 bits."""
     out = np.full(len(seeds), np.iinfo(np.uint64).max)
-    for at in range(0, len(sets), 1024):
-        out = np.minimum(out, (sets[at : at + 1024, None] * seeds[None, :]).min(axis=0))
+    for at in range(0, len(sets), 512):
+        out = np.minimum(out, (sets[at : at + 512, None] * seeds[None, :]).min(axis=0))
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
@@ -68,259 +71,254 @@ def shingle_sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
         yield np.unique(shingles(hashes[lo:hi], width))
 
 
+def _class(s: np.ndarray) -> bytes | None:
+    """A hash of the whole set, none for an empty one."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return ((s >> np.uint64(20)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A written table and its path, for one that is dropped before the end."""
+    path = table_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def _signed(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
-    """(id, n_shingles, class, signature): the class is a hash of the whole set, null for an empty one."""
+    """(id, n_shingles, class, signature) of each row; besides, a row a task with n_shingles -1 and the counts of its shingles by bucket."""
     seeds = _seeds(trees * depth)
+    names = ["id", "n_shingles", "class", "signature"]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        counts, kind = np.zeros(BUCKETS, np.int64), None
         for batch in (part for whole in rows for part in small_batches(whole)):
-            sizes, classes, signs = [], [], []
+            sizes, classes, signs, kind = [], [], [], batch.column("id").type
             for s in shingle_sets(batch, width):
                 sizes.append(len(s))
-                classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                classes.append(_class(s))
                 signs.append(signature(s, seeds).astype(">u4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signs, pa.binary())], names=["id", "n_shingles", "class", "signature"])
+                counts += np.bincount(_bucket(s), minlength=BUCKETS)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signs, pa.binary())], names=names)
+        if kind is not None and (at := np.flatnonzero(counts)).size:
+            blob = np.stack([at, counts[at]]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names=names)
+
+    return docs.select("id", "text").mapInArrow(batches, "id long, n_shingles long, class binary, signature binary")
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(batches, f"id {kind}, n_shingles long, class binary, signature binary")
 
+def _counts(signed: DataFrame) -> np.ndarray:
+    """Shingles of all texts, each text's counted once, by bucket of the hash: a table of fixed size."""
 
-def _neighbours(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(a, b, votes): candidate pairs of class ids, a < b, with the prefix they share summed over trees; heads count as seen."""
+    def unpack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for blob in batch.column("signature").to_pylist():
+                at, n = np.frombuffer(blob, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["at", "n"])
+
+    found = signed.where("n_shingles < 0").select("signature").mapInArrow(unpack, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+class _Regions:
+    """One task's pass over the sorted signatures: hands on pairs (a, b, votes, must, a stands for a region of b, b for one of a) and crowded ids."""
+
+    def __init__(self, depth: int) -> None:
+        self.key, self.ids = np.zeros((0, depth + 1), np.uint32), np.zeros(0, np.int64)
+        #: Rows at the front of what is held that are handed on already; more than none only in a crowded region.
+        self.done = 0
+        self.edge = True  # the first region may go on in the task before
+        #: The row that stands for the crowded region in work: length of its run, id.
+        self.top = (0, 0)
+
+    def take(self, key: np.ndarray, ids: np.ndarray, last: bool) -> tuple[np.ndarray, ...] | None:
+        key, ids = np.concatenate([self.key, key]), np.concatenate([self.ids, ids])
+        n = len(ids)
+        if not n:
+            return None
+        start = np.flatnonzero(np.concatenate([[True], (key[1:, :3] != key[:-1, :3]).any(axis=1)]))
+        size = np.diff(np.append(start, n))
+        crowded = size > SMALL
+        crowded[0] |= self.edge or self.done > 0
+        crowded[-1] |= last
+        stop = n if last or crowded[-1] else start[-1]
+        at = np.arange(self.done, stop)
+        region = np.repeat(np.arange(len(start)), size)
+        busy = crowded[region]
+        place = np.arange(n) - start[region]
+        found = []
+        for back in range(1, SMALL):
+            i = at[(place[at] >= back) & (~busy[at] | (back <= BEHIND))]
+            found.append(self._compare(key, ids, i, key[i - back], ids[i - back], busy[i]))
+        # the first row of the longest run of equal signatures stands for a crowded region
+        runs = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+        length = np.diff(np.append(runs, n))
+        order = np.lexsort((-length, region[runs]))
+        best = order[np.searchsorted(region[runs][order], np.arange(len(start)))]
+        top_length, top = length[best], ids[runs[best]]
+        if self.done and self.top[0] > top_length[0]:
+            top_length[0], top[0] = self.top
+        own = at[busy[at]]
+        found.append(self._compare(key, ids, own, key[start[region[own]]], top[region[own]], busy[own], top=True))
+        out = (*(np.concatenate(x) for x in zip(*found, strict=True)), np.unique(ids[at[busy[at]]]))
+        if stop < n:  # a small region that may go on: all of it is kept for later
+            keep, self.done = n - stop, 0
+            self.edge = self.edge and len(start) == 1
+        else:
+            keep = self.done = min(n, BEHIND)
+            self.edge = False
+            self.top = int(top_length[-1]), int(top[-1])
+        self.key, self.ids = key[n - keep :].copy(), ids[n - keep :].copy()
+        return out
+
+    @staticmethod
+    def _compare(key, ids, i, other, other_ids, busy, top=False) -> tuple[np.ndarray, ...]:
+        if top:
+            shared = np.full(len(i), 2)
+        else:
+            same = key[i] == other
+            shared = np.where(same[:, 0], np.cumprod(same[:, 1:], axis=1).sum(axis=1), 0)
+        ok = (shared >= np.where(busy & (not top), 3, 2)) & (ids[i] != other_ids)
+        x, y = ids[i][ok], other_ids[ok]
+        return np.minimum(x, y), np.maximum(x, y), shared[ok].astype(np.int64), ~busy[ok], ((y < x) & top).astype(np.int64), ((y > x) & top).astype(np.int64)
+
+
+def _forest(classes: DataFrame, trees: int, depth: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Candidate pairs of class ids (a, b, votes, must, for_b, for_a), a < b, the crowded ids (id), and the paths of both tables.
+
+    ``votes``: shared hashes summed over the trees; ``must``: some tree compared the pair's region wholly;
+    ``for_b``, ``for_a``: trees in which a stands for the region of b, and b for that of a.
+    """
+    spark = classes.sparkSession
     rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     part = F.substring("signature", F.col("tree") * F.lit(4 * depth) + 1, F.lit(4 * depth))
     # the tree's number first: one range partitioning orders all trees
     rows = rows.select(F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")), part).alias("key"), "id")
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
-
-    def compare(key: np.ndarray, ids: np.ndarray, at: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
-        same = key[at] == key[other]
-        shared = np.where(same[:, 0], np.cumprod(same[:, 1:], axis=1).sum(axis=1), 0)
-        ok = (shared >= 2) & (ids[at] != ids[other])
-        x, y = ids[at][ok], ids[other][ok]
-        return np.minimum(x, y), np.maximum(x, y), shared[ok]
+    names = ["a", "b", "votes", "must", "for_b", "for_a"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_id = np.zeros((0, depth + 1), np.uint32), np.zeros(0, np.int64)
-        heads: list[tuple[np.ndarray, int] | None] = [None] * (depth + 1)
-        counts, edge = np.zeros(depth + 1, np.int64), []
-        from pyspark import TaskContext
+        lean()
+        regions = _Regions(depth)
 
-        pid = TaskContext.get().partitionId()
-        names = ["a", "b", "votes", "edge", "pid", "key"]
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("votes", pa.int64()), ("edge", pa.int32()), ("pid", pa.int32()), ("key", pa.binary())])
-
-        def bounds(key: np.ndarray, ids: np.ndarray, kind: int) -> list[dict]:
-            return [{"a": int(i), "edge": kind, "pid": pid, "key": k.astype(">u4").tobytes()} for k, i in zip(key, ids, strict=True)]
+        def handed(found: tuple[np.ndarray, ...] | None) -> Iterator[pa.RecordBatch]:
+            if found is not None:
+                *columns, crowded = found
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                k = pa.nulls(len(crowded), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(crowded, pa.int64()), k, k, pa.nulls(len(crowded), pa.bool_()), k, k], names=names)
 
         for batch in batches:
             raw = batch.column("key").to_pylist()
-            if not raw:
-                continue
-            flat = np.frombuffer(b"".join(b"\0\0" + k for k in raw), ">u4").reshape(len(raw), depth + 1).astype(np.uint32)
-            key = np.concatenate([held_key, flat])
-            ids = np.concatenate([held_id, batch.column("id").to_numpy()])
-            base, n = len(held_id), len(ids)
-            if len(edge) < BEHIND:
-                edge += bounds(flat[: BEHIND - len(edge)], ids[base : base + BEHIND - len(edge)], 0)
-            found = []
-            at = np.arange(base, n)
-            for back in range(1, BEHIND + 1):
-                has = at[at >= back]
-                found.append(compare(key, ids, has, has - back))
-            # region heads: the first row of each prefix, at the shallowest depth whose region is still small
-            prev = np.concatenate([np.zeros((1, depth + 1), bool) if not base else (key[base : base + 1] == key[base - 1 : base]), key[base + 1 :] == key[base : n - 1]])
-            run = np.where(prev[:, 0], np.cumprod(prev[:, 1:], axis=1).sum(axis=1), -1)
-            for d in range(depth, 1, -1):
-                starts = np.flatnonzero(run < d)
-                last = np.searchsorted(starts, np.arange(n - base), side="right") - 1
-                head = np.where(last >= 0, starts[np.maximum(last, 0)], -1)
-                place = np.where(head >= 0, np.arange(n - base) - head, np.arange(n - base) + counts[d])
-                small = (place < SMALL) | (d == depth)
-                carried = heads[d]
-                small |= d == 2  # and the head of the whole region, so that its rows have one in common
-                found.append(compare(key, ids, at[small & (head >= 0)], base + head[small & (head >= 0)]))
-                if carried is not None and (on := small & (head < 0)).any():
-                    k2, i2 = np.concatenate([key, carried[0][None]]), np.concatenate([ids, [carried[1]]])
-                    found.append(compare(k2, i2, at[on], np.full(int(on.sum()), n)))
-                if len(starts):
-                    heads[d], counts[d] = (key[base + starts[-1]].copy(), int(ids[base + starts[-1]])), n - base - starts[-1]
-                else:
-                    counts[d] += n - base
-            a, b, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            empty = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.int64()), *empty], names=names)
-            held_key, held_id = key[-BEHIND:].copy(), ids[-BEHIND:].copy()
-        if len(held_id):
-            edge += bounds(held_key, held_id, 1)
-            yield pa.RecordBatch.from_pylist(edge, schema=schema)
-
-    path = table_path(rows.sparkSession, "neighbours")
-    scan_rows = rows.mapInArrow(scan, "a long, b long, votes long, edge int, pid int, key binary").where("a <> b OR b IS NULL")
-    scan_rows.write.option("compression", "zstd").parquet(path)
-    scanned = rows.sparkSession.read.schema(scan_rows.schema).parquet(path)
-    inside = scanned.where("edge IS NULL").select("a", "b", "votes")
-    # the last rows of a task meet the first of the next one: a few rows a task
-    tail = scanned.where("edge = 1").select((F.col("pid") + 1).alias("pid"), F.col("a").alias("x"), F.col("key").alias("xk"))
-    ahead = scanned.where("edge = 0").select("pid", F.col("a").alias("y"), F.col("key").alias("yk"))
-    across = tail.join(ahead, "pid").where((F.substring("xk", 1, 12) == F.substring("yk", 1, 12)) & (F.col("x") != F.col("y")))
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(2).cast("long").alias("votes"))
-    pairs = written(inside.unionByName(across).groupBy("a", "b").agg(F.sum("votes").alias("votes")), "pairs")
-    drop_table(rows.sparkSession, path)  # the pairs are safe in the shared folder, so nothing reads it again
-    return pairs
+            if raw:
+                key = np.frombuffer(b"".join(b"\0\0" + k for k in raw), ">u4").reshape(len(raw), depth + 1).astype(np.uint32)
+                yield from handed(regions.take(key, batch.column("id").to_numpy(), last=False))
+        yield from handed(regions.take(np.zeros((0, depth + 1), np.uint32), np.zeros(0, np.int64), last=True))
 
+    scanned, path = _table(rows.mapInArrow(scan, "a long, b long, votes long, must boolean, for_b long, for_a long"), "scanned")
+    pairs, pairs_path = _table(scanned.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.bool_or("must").alias("must"), F.sum("for_b").alias("for_b"), F.sum("for_a").alias("for_a")), "pairs")
+    crowded, crowded_path = _table(scanned.where("b IS NULL").select(F.col("a").alias("id")).distinct(), "crowded")
+    drop_table(spark, path)
+    return pairs, crowded, [pairs_path, crowded_path]
 
-def _id_filter(ids: DataFrame, *, bits_each: int = 16, most_bits: int = 1 << 27):
-    """A Bloom filter of at most ``most_bits`` bits over the ids, as a function of an array of ids.
 
-    The bits are set by a partially aggregated groupBy over 32-bit words of the filter. Beyond its bound the
-    filter lets more ids through; what it lets through only costs work.
-    """
-    n = ids.agg(F.approx_count_distinct("id")).first()[0]
-    bits = min(most_bits, 1 << max(10, (n * bits_each).bit_length()))
-
-    def places(x: np.ndarray) -> tuple[np.ndarray, ...]:
-        h = mix(x.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        return tuple(((h >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 18, 36))
-
-    def mark(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            at = np.unique(np.concatenate(places(batch.column("id").to_numpy())))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], names=["at", "bit"])
+def _up(x: float) -> int:
+    return int(np.ceil(x - 1e-9))
 
-    words_ = ids.mapInArrow(mark, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("w")).toArrow()
-    table = np.zeros(bits >> 5, np.int64)
-    table[words_.column("at").to_numpy()] = words_.column("w").to_numpy()
-    sent = ids.sparkSession.sparkContext.broadcast(table.astype(np.uint32))
 
-    def has(x: np.ndarray) -> np.ndarray:
-        found = np.ones(len(x), bool)
-        for at in places(x):
-            found &= (sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
-        return found
+def _sets(texts: DataFrame, ids: DataFrame, width: int, repeated: bool, crowded: DataFrame | None = None, counts: np.ndarray | None = None, least: float = 80) -> tuple[DataFrame, str]:
+    """(id, class, size, hashes, tokens) and the table's path: full sets of ``ids`` and, of ``crowded`` ids, the first shingles from
+    rare to common. Made again from the texts, which are not shuffled: filters of bounded size tell which ids may be among them."""
+    asked = id_filter(ids)
+    busy = None if crowded is None else id_filter(crowded)
+    sent = None if counts is None else texts.sparkSession.sparkContext.broadcast(counts)
 
-    return has
-
-
-def _counts(texts: DataFrame, some, width: int) -> np.ndarray:
-    """Shingles of the texts whose ids pass ``some``, each text's counted once, by bucket of the hash."""
-
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total = np.zeros(BUCKETS, np.int64)
+    def sets_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for whole in rows:
-            for batch in small_batches(whole.filter(pa.array(some(whole.column("id").to_numpy())))):
-                sets = list(shingle_sets(batch, width))
-                if sets:
-                    total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
-        parts = total.reshape(-1, PART)
-        group = np.full(len(parts), TaskContext.get().partitionId() % 32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(group), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "task", "n"])
-
-    def add(group: pa.Table) -> pa.Table:
-        n = sum(np.frombuffer(x, np.int64) for x in group.column("n").to_pylist())
-        return pa.table({"part": group.column("part")[:1], "task": pa.array([0], pa.int64()), "n": pa.array([n.tobytes()], pa.binary())})
-
-    schema = "part long, task long, n binary"
-    found = texts.where("id IS NOT NULL").mapInArrow(count, schema).groupBy("part", "task").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).toArrow()
-    out = np.zeros((BUCKETS // PART, PART), np.int64)
-    for part, n in zip(found.column("part").to_pylist(), found.column("n").to_pylist(), strict=True):
-        out[part] = np.frombuffer(n, np.int64)
-    return out.reshape(-1)
-
-
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return ((s >> np.uint64(20)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+            x = whole.column("id").to_numpy()
+            wanted = asked(x) if busy is None else asked(x) | busy(x)
+            for batch in small_batches(whole.filter(pa.array(wanted)), limit=1 << 20):
+                x = batch.column("id").to_numpy()
+                full, first = asked(x), np.zeros(len(x), bool) if busy is None else busy(x)
+                sizes, of, hashes, tokens = [], [], [], []
+                for k, s in enumerate(shingle_sets(batch, width)):
+                    sizes.append(len(s))
+                    of.append(_class(s))
+                    hashes.append(s.tobytes() if full[k] else None)
+                    if first[k]:
+                        order = np.lexsort((s, sent.value[_bucket(s)]))
+                        tokens.append(s[order[: len(s) - _up(least * len(s) / 100) + 1]].tobytes())
+                    else:
+                        tokens.append(None)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(of, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(tokens, pa.binary())], names=["id", "class", "size", "hashes", "tokens"])
+
+    sets = texts.where("id IS NOT NULL").mapInArrow(sets_of, "id long, class binary, size long, hashes binary, tokens binary")
+    if repeated:
+        sets = sets.dropDuplicates(["id", "class"])
+    return _table(sets, "sets")
 
 
-def _left_over(texts: DataFrame, classes: DataFrame, found: DataFrame, width: int, least: float) -> DataFrame:
-    """(a, b): every pair of class ids of different components of ``found`` (n, component) that the prefix filter lets pass."""
-    spark = texts.sparkSession
+def _left_over(sets: DataFrame, classes: DataFrame, found: DataFrame, least: float) -> tuple[DataFrame, str]:
+    """(a, b) and the table's path: every pair of class ids of different components of ``found`` (n, component) that the prefix filter lets pass."""
+    spark = sets.sparkSession
     component = classes.join(found, F.col("id") == F.col("n"), "left").select(F.col("id").alias("of_id"), F.col("class").alias("of_class"), F.coalesce("component", "id").alias("component"))
-    ids = classes.select("id")
-    some = _id_filter(ids)
-    sent = spark.sparkContext.broadcast(_counts(texts, some, width))
-    up = lambda x: int(np.ceil(x - 1e-9))
-
-    def first_ones(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value
-        for whole in rows:
-            for batch in small_batches(whole.filter(pa.array(some(whole.column("id").to_numpy())))):
-                sizes, of, tokens = [], [], []
-                for s in shingle_sets(batch, width):
-                    sizes.append(len(s))
-                    of.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    order = np.lexsort((s, counts[_bucket(s)]))
-                    tokens.append(s[order[: len(s) - up(least * len(s) / 100) + 1]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(of, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["id", "class", "size", "tokens"])
-
-    firsts = texts.where("id IS NOT NULL").mapInArrow(first_ones, "id long, class binary, size long, tokens array<long>")
     # copies are one row: only their class's own id stays, and a row that repeats it too counts once
+    firsts = sets.where("tokens IS NOT NULL").select("id", "class", "size", "tokens")
     firsts = firsts.join(component, (F.col("id") == F.col("of_id")) & (F.col("class") == F.col("of_class"))).select("id", "component", "size", "tokens")
     firsts, firsts_path = _table(firsts, "firsts")
+
+    def tokens_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in rows:
+            lists = [np.frombuffer(t, np.int64) for t in batch.column("tokens").to_pylist()]
+            size = [len(t) for t in lists]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("component").to_numpy(), size)), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))], names=["component", "id"])
+
     # shingles of one component only lead to no pair
-    shared = firsts.select("component", F.explode("tokens").alias("id")).groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("id")
-    shared = written(shared, "shared")
-    live = _id_filter(shared)
+    shared = firsts.select("component", "tokens").mapInArrow(tokens_of, "component long, id long").groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    shared, shared_path = _table(shared.where("lo < hi").select("id"), "shared")
+    live = id_filter(shared)
 
     def spread(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in rows:
-            lists = batch.column("tokens")
-            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            token, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            lists = [np.frombuffer(t, np.int64) for t in batch.column("tokens").to_pylist()]
+            size = np.array([len(t) for t in lists], np.int64)
+            token, row = np.concatenate(lists) if lists else np.zeros(0, np.int64), np.repeat(np.arange(len(size)), size)
             place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
             on = live(token)
             token, row, place = token[on], row[on], place[on]
             n = batch.column("size").to_numpy()[row]
             index = place < n - np.ceil(2 * least * n / (100 + least) - 1e-9) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(batch.column("id").to_numpy()[row]), pa.array(batch.column("component").to_numpy()[row]), pa.array(n - place), pa.array(n), pa.array(index)], names=["token", "id", "component", "after", "size", "index"])
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(batch.column("id").to_numpy()[row]), pa.array(batch.column("component").to_numpy()[row]), pa.array((n - place).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(index)], names=["token", "id", "component", "after", "size", "index"])
 
-    rows, rows_path = _table(firsts.mapInArrow(spread, "token long, id long, component long, after long, size long, index boolean").distinct(), "postings")
-    drop_table(spark, firsts_path)
+    rows, rows_path = _table(firsts.mapInArrow(spread, "token long, id long, component long, after int, size int, index boolean").distinct(), "postings")
     large = rows.select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "component", "after", "size")))
     small = rows.where("index").select(F.col("token").alias("token_y"), *(F.col(c).alias(f"{c}_y") for c in ("id", "component", "after", "size")))
     # of two sets of one size the smaller id is the smaller set
     met = large.join(small, (F.col("token") == F.col("token_y")) & (F.col("component_x") != F.col("component_y")) & ((F.col("size_y") < F.col("size_x")) | ((F.col("size_y") == F.col("size_x")) & (F.col("id_y") < F.col("id_x")))))
     met = met.where((100 * F.col("size_y") >= least * F.col("size_x")) & ((100 + least) * F.least("after_x", "after_y") >= least * (F.col("size_x") + F.col("size_y"))))
-    pairs = written(met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "left-over")
-    drop_table(spark, rows_path)
+    pairs = _table(met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "left-over")
+    for path in (firsts_path, shared_path, rows_path):
+        drop_table(spark, path)
     return pairs
 
 
-def _table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """A written table and its path, for one that is dropped before the end."""
-    path = table_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def _sets(texts: DataFrame, pairs: DataFrame, width: int, repeated: bool) -> tuple[DataFrame, str]:
-    """(id, hashes) and its path: full sets of the ids in ``pairs``, made again from their texts, which are not shuffled:
-    a filter of bounded size tells the tasks which ids may be among them."""
-    some = _id_filter(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
-
-    def sets_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in rows:
-            ids = whole.column("id")
-            whole = whole.filter(pa.array(ids.is_valid().to_numpy(zero_copy_only=False) & some(ids.fill_null(0).to_numpy())))
-            for batch in small_batches(whole):
-                found = [s.tobytes() for s in shingle_sets(batch, width)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "hashes"])
-
-    sets = texts.mapInArrow(sets_of, "id long, hashes binary")
-    if repeated:
-        sets = sets.withColumn("same", F.xxhash64("hashes")).dropDuplicates(["id", "same"]).drop("same")
-    return _table(sets, "sets")
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= least * union."""
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    full = sets.where("hashes IS NOT NULL")
+    left = full.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
+    right = full.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
@@ -332,56 +330,59 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # sizes alone rule out most pairs that can't be links, before their sets travel
-    joined = pairs.join(left, "a").join(right, "b")
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
     sized = 100 * F.least(F.octet_length("x"), F.octet_length("y")) >= F.lit(least) * F.greatest(F.octet_length("x"), F.octet_length("y"))
     return joined.where(sized).select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 80, trees: int = 16, depth: int = 4) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, kept (the id is its component's).
 
     Links are pairs with 100 * intersection >= ``least`` * union of their distinct ``width``-word shingles.
     """
-    bound_batches(docs.sparkSession)
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
+    spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(_signed(texts, width, trees, depth), "signed")
-    classes = signed.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
-    classes = written(classes, "classes")
-    pairs = _neighbours(classes.select("id", "signature"), trees, depth)
-
-    repeated = signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] not in (None, 1)  # ids
-    sets, sets_path = _sets(texts, pairs, width, repeated)
-
-    both = lambda p, x, y: p.select(F.col(x).alias("x"), F.col(y).alias("y"), "a", "b", "votes").unionByName(p.select(F.col(y).alias("x"), F.col(x).alias("y"), "a", "b", "votes"))
-    pick = lambda p, order: p.groupBy("x").agg(F.max_by(F.struct("a", "b"), order).alias("p")).select("p.a", "p.b")
-    directed = both(pairs, "a", "b")
-    degree = directed.groupBy("y").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("y", "hub")
-    hubs = directed.join(degree, F.col("y") == F.col("hub"))
-    chosen = pick(directed, F.struct("votes", -F.col("y"))).unionByName(pick(hubs, F.struct("degree", -F.col("y"))))
-    found = None
-    for _ in ("each class", "each component"):
-        if found is not None:
-            label = lambda side: found.select(F.col("node").alias(f"n{side}"), F.col("component").alias(f"c{side}"))
-            cross = pairs.join(label("a"), F.col("a") == F.col("na"), "left").join(label("b"), F.col("b") == F.col("nb"), "left")
-            cross = cross.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb").select("a", "b", "votes", "ca", "cb")
-            pairs = written(cross.join(chosen.toDF("pa", "pb"), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti"), "pairs")
-            chosen = pick(both(pairs, "ca", "cb"), F.struct("votes", -F.col("y")))
-        chosen = cut(chosen.distinct())
-        links = _confirmed(chosen, sets, least)
-        if found is not None:
-            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        found = cut(connected_components(links))
-    drop_table(docs.sparkSession, sets_path)  # the links found are cut off from it
-    # candidates of the trees not confirmed yet are among these, if they are links
-    rest = _left_over(texts, classes, found.toDF("n", "component"), width, least)
-    if not rest.isEmpty():
-        sets, sets_path = _sets(texts, rest, width, repeated)
-        links = _confirmed(rest, sets, least)
-        found = cut(connected_components(links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-        drop_table(docs.sparkSession, sets_path)
+    signed, signed_path = _table(_signed(texts, width, trees, depth), "signed")
+    rows = signed.where("n_shingles >= 0")
+    classes = rows.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
+    classes, classes_path = _table(classes, "classes")
+    pairs, crowded, paths = _forest(classes.select("id", "signature"), trees, depth)
+    repeated = rows.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] not in (None, 1)
+
+    # each class with its best candidate, with that which stands for its regions, and with the smallest, which a wholly compared region has in common
+    side = lambda x, y, top: pairs.select("a", "b", "votes", F.col(x).alias("x"), F.col(y).alias("y"), F.col(top).alias("top"))
+    ends = F.struct("a", "b")
+    chosen = side("a", "b", "for_a").unionByName(side("b", "a", "for_b")).groupBy("x").agg(
+        F.max_by(ends, F.struct("votes", -F.col("y"))).alias("best"), F.max_by(ends, F.struct("top", "votes", -F.col("y"))).alias("most"), F.min_by(ends, "y").alias("least")
+    )
+    chosen = cut(chosen.select(F.explode(F.array("best", "most", "least")).alias("p")).select("p.a", "p.b").distinct())
+    sets, sets_path = _sets(texts, _ends(chosen), width, repeated, crowded, _counts(signed), least)
+    links = cut(_confirmed(chosen, sets, least))
+    found = cut(connected_components(links))
+
+    label = lambda side: found.select(F.col("node").alias(f"n{side}"), F.col("component").alias(f"c{side}"))
+    open_ = pairs.where("must").join(label("a"), F.col("a") == F.col("na"), "left").join(label("b"), F.col("b") == F.col("nb"), "left")
+    open_ = open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(chosen.toDF("pa", "pb"), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti")
+    rest, rest_path = _left_over(sets, classes, found.toDF("n", "component"), least)
+    drop_table(spark, sets_path)
+    both = cut(open_.unionByName(rest).distinct())
+    if not both.isEmpty():
+        sets, sets_path = _sets(texts, _ends(both), width, repeated)
+        more = _confirmed(both, sets, least).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        found = cut(connected_components(more))
+        drop_table(spark, sets_path)
+    for path in (rest_path, *paths):
+        drop_table(spark, path)
     found = found.toDF("n", "component")
 
     of_class = classes.join(found, F.col("id") == F.col("n"), "left").select(F.col("class").alias("of"), F.coalesce("component", "id").alias("component"))
-    out = signed.select("id", "n_shingles", "class").join(of_class, F.col("class") == F.col("of"), "left")
+    out = rows.select("id", "n_shingles", "class").join(of_class, F.col("class") == F.col("of"), "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -7,12 +7,13 @@ text, apart from eight bytes for each word.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -99,7 +100,7 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def small_batches(batch, column: str = "text", limit: int = 4 << 20):
+def small_batches(batch, column: str = "text", limit: int = 2 << 20):
     """Slices of an Arrow batch with at most ``limit`` bytes of ``column`` each (or one row)."""
     import pyarrow.compute as pc
 
@@ -115,5 +116,17 @@ def small_batches(batch, column: str = "text", limit: int = 4 << 20):
 
 
 def bound_batches(spark) -> None:
-    """Have Spark cut Arrow batches at 16 MB, so that very long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Have Spark cut Arrow batches at 4 MB and 2,000 rows, so that very long texts don't add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+@functools.cache
+def lean() -> None:
+    """Have this Python worker give large arrays back to the system as soon as they are free (glibc; elsewhere nothing)."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        return
+    mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    mallopt(-1, 1 << 18)  # M_TRIM_THRESHOLD
