@@ -8,13 +8,16 @@ when no vector outside the k best lower bounds can reach them; the few left have
 
 Queries meet blocks in groups: every (query group, block) pair is one row of work, so memory is bounded
 by one block and one group, and only k rows a query and block are shuffled to the merge. Equal vectors
-in a block are one entry with their smallest k + 1 ids, more than which no result of k can hold, so
-groups of copies cost nothing.
+in a block are one entry with their smallest k + 1 distinct ids, each with up to k of its rows: whichever
+of them is the query's own, the others fill a result of k. So groups of copies cost nothing.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part, as
 queries or as candidates; vectors of different lengths never meet (each length is searched by itself);
-ties go to the smaller id; repeated ids are separate rows, but a query never returns its own id; fewer
-than k candidates give all of them; an empty table gives an empty result.
+ties go to the smaller id; repeated ids are separate rows, as candidates and as queries (each repeated
+query row has its own k rows), but a query never returns its own id; fewer than k candidates give all of
+them; components and scores that 64 bits cannot hold are computed exactly for the order and returned as the
+nearest value they can hold; ids that are no whole numbers are refused (TypeError); an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from corpuslens.plans.lineage import cut
 
@@ -34,26 +37,42 @@ EXACT = 1 << 53
 
 
 class SortedLists:
-    """The sorted lists of one block: ``ids[i]`` are the smallest ids of the i-th distinct vector."""
+    """The sorted lists of one block. Of the i-th distinct vector, ``ids[i]`` holds the smallest distinct ids and ``rows[i]`` how many rows (``keep`` at most) each has."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, keep: int) -> None:
         self.vectors, inverse = np.unique(vectors, axis=0, return_inverse=True)
-        order = np.lexsort((ids, inverse))
-        inverse, ids = inverse.reshape(-1)[order], ids[order]
-        first = np.searchsorted(inverse, np.arange(len(self.vectors)))
-        nth = np.arange(len(ids)) - first[inverse]
-        self.ids = np.full((len(self.vectors), keep), np.iinfo(np.int64).max)
-        self.ids[inverse[nth < keep], nth[nth < keep]] = ids[nth < keep]
+        pairs, rows = np.unique(np.stack([inverse.reshape(-1), ids], axis=1), axis=0, return_counts=True)
+        of, ids = pairs[:, 0], pairs[:, 1]
+        nth = np.arange(len(ids)) - np.searchsorted(of, np.arange(len(self.vectors)))[of]
+        self.ids, self.rows = np.zeros((2, len(self.vectors), keep + 1), np.int64)
+        on = nth <= keep
+        self.ids[of[on], nth[on]], self.rows[of[on], nth[on]] = ids[on], np.minimum(rows[on], keep)
+        names, often = np.unique(ids, return_counts=True)
+        #: Distinct vectors of each id that has more than one.
+        self.several = dict(zip(names[often > 1].tolist(), often[often > 1].tolist(), strict=True))
         self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()  # dimension x rank
         self.sorted = np.take_along_axis(self.vectors.T, self.order, axis=1)
-        self.top = int(np.abs(self.vectors).max(initial=0))
+        self.top = max(int(self.vectors.max(initial=0)), -int(self.vectors.min(initial=0)))
+
+    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best rows that don't have the query's own id; ties to the smaller id."""
+        # vectors that only the query's own id may have are looked for besides
+        left, score = self.search(query, k + self.several.get(query_id, 1))
+        at, nth = np.nonzero((self.rows[left] > 0) & (self.ids[left] != query_id))
+        each = self.rows[left][at, nth]
+        ids, score = np.repeat(self.ids[left][at, nth], each), np.repeat(score[at], each)
+        first = np.lexsort((ids, -score))[:k]
+        return ids[first], np.clip(score[first], -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
     def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows of distinct vectors that may be among the k best, and their exact scores."""
         n, dims = self.vectors.shape
+        most = dims * self.top * max(int(query.max(initial=0)), -int(query.min(initial=0)))
+        if most >= 1 << 63:  # whole numbers of any size
+            return np.arange(n), self.vectors.astype(object) @ query.astype(object)
         if n <= 2 * k:
             return np.arange(n), self.vectors @ query
-        exact = dims * self.top * int(np.abs(query).max(initial=0)) < EXACT
+        exact = most < EXACT
         rising = query < 0  # read from the small end
         order = np.where(rising[:, None], self.order, self.order[:, ::-1])
         part = np.where(rising[:, None], self.sorted, self.sorted[:, ::-1]) * query[:, None]  # falls along each list
@@ -79,53 +98,57 @@ class SortedLists:
 
 
 def _usable(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of every component as long, or null if the vector takes no part."""
+    """floor(scale * x) of every component as long (the nearest one beyond 64 bits), or null if the vector takes no part."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (F.size(vector) > 0)
-    return F.when(fine, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    return F.when(fine, F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(9.2e18)), F.lit(-9.2e18))).cast("long")))
 
 
 def _packed(rows: DataFrame, groups: int, name: str) -> DataFrame:
     """(dims, name, ids, vectors): rows of (id, v) dealt into ``groups`` groups by a hash of the row, each packed into bytes."""
 
+    schema = pa.schema([("dims", pa.int32()), (name, pa.int32()), ("ids", pa.binary()), ("rows", pa.binary()), ("vectors", pa.binary())])
+
     def pack(key: tuple, group: pa.Table) -> pa.Table:
         vectors = np.array(group.column("v").to_pylist(), np.int64)
-        return pa.table({"dims": [key[0].as_py()], name: [key[1].as_py()], "ids": [group.column("id").to_numpy().astype(np.int64).tobytes()], "vectors": [vectors.tobytes()]}, schema=pa.schema([("dims", pa.int32()), (name, pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+        ids, row = (group.column(c).to_numpy().astype(np.int64).tobytes() for c in ("id", "row"))
+        return pa.table({"dims": [key[0].as_py()], name: [key[1].as_py()], "ids": [ids], "rows": [row], "vectors": [vectors.tobytes()]}, schema=schema)
 
-    dealt = rows.select("id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int").alias(name))
-    return dealt.groupBy("dims", name).applyInArrow(pack, f"dims int, {name} int, ids binary, vectors binary")
+    # dealt by the row's number, so that copies of a row are spread too
+    dealt = rows.select("id", "row", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias(name))
+    return dealt.groupBy("dims", name).applyInArrow(pack, f"dims int, {name} int, ids binary, rows binary, vectors binary")
 
 
 def exact_topk(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, group: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``queries`` holds, its k best other rows."""
+    if not isinstance(vectors.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), _usable(F.col(vector_col), scale).alias("v"), queries.alias("asks")).where("v IS NOT NULL AND id IS NOT NULL")
-    rows = cut(rows)
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     blocks, groups = max(1, -(-n // block)), max(1, -(-asked // group))
     data = _packed(rows, blocks, "block")
-    asks = _packed(rows.where("asks"), groups, "asker").select("dims", "asker", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    asks = _packed(rows.where("asks"), groups, "asker").select("dims", "asker", F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"), F.col("vectors").alias("queries"))
     # every group of queries goes to every block: an equi-join on the block's number, not a product of rows
     asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    work = asks.join(data, ["dims", "block"])
+    work = asks.join(data.drop("rows"), ["dims", "block"])
     found = work.repartition(max(1, min(blocks * groups, 4 * spark.sparkContext.defaultParallelism)), "block", "asker") if blocks * groups > 1 else work
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lists = None, None
+        names = ["query_id", "query_row", "vec_id", "score"]
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 if last != (row["dims"], row["block"]):
                     last = (row["dims"], row["block"])
-                    lists = SortedLists(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, row["dims"]), k + 1)
-                out = []
-                for q, v in zip(np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["queries"], np.int64).reshape(-1, row["dims"]), strict=True):
-                    left, score = lists.search(v, k + 1)  # one more, as the query itself may be among them
-                    ids = lists.ids[left]
-                    at, nth = np.nonzero((ids != q) & (ids != np.iinfo(np.int64).max))
-                    best = np.lexsort((ids[at, nth], -score[at]))[:k]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at, nth][best], "score": score[at][best]}))
-                yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
-
-    best = found.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                    lists = SortedLists(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, row["dims"]), k)
+                asked = zip(np.frombuffer(row["query_ids"], np.int64).tolist(), np.frombuffer(row["query_rows"], np.int64).tolist(), np.frombuffer(row["queries"], np.int64).reshape(-1, row["dims"]), strict=True)
+                out = [(q, r, *lists.best(q, v, k)) for q, r, v in asked]
+                size = [len(o[2]) for o in out]
+                columns = [np.repeat([o[0] for o in out], size), np.repeat([o[1] for o in out], size), np.concatenate([o[2] for o in out]), np.concatenate([o[3] for o in out])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
+
+    best = found.mapInArrow(search, "query_id long, query_row long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
