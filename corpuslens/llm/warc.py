@@ -11,39 +11,43 @@ The archives are ordinary ``.warc.gz`` text of the file sink (one gzip stream a
 splits), committed by Spark's protocol, so a lost executor or a repeated task leaves no partial archive.
 
 Of records with equal payloads of at least ``least`` bytes, that with the smallest id is the response and
-the others are revisits of it, without a payload.
+the others are revisits of it, without a payload. Which digests repeat is found from digests alone; payloads are
+not shuffled while at most ``SENT_DIGESTS`` of them repeat, as that table then goes to every task.
 
 Defined results: a null or empty payload is a response of 0 bytes; a null target URI is left out; line
-ends and any bytes inside a payload are kept; equal rows give one record each; a null id is written and
-read back as null (it sorts last among equal payloads); an empty table gives no records.
+ends and any bytes inside a payload are kept; equal rows give one record each, and rows that share the smallest id of equal
+payloads are all responses; a null id is written and read back as null (it sorts last among equal payloads);
+an empty table gives no records; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.plans.lineage import table_path
+from corpuslens.llm.hashing import bound_batches, lean
+from corpuslens.plans.lineage import table_path, written
 
 CHUNK = 1 << 18
+#: Repeated digests (32 bytes and an id each) up to which they are sent to every task.
+SENT_DIGESTS = 1 << 17
 _RECORD = "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, segments int, complete boolean"
 
 
 def plan_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100) -> DataFrame:
-    """Rows of (record_id, url, payload, digest, refers_to): refers_to is set for revisits only.
-
-    Only digests that occur more than once are joined back; they meet the pages by their real size, and
-    a hot digest is one key of a join that Spark splits when skewed, after a partial aggregation.
-    """
+    """Rows of (record_id, url, payload, digest, refers_to): refers_to is set for revisits only."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("record_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    long_ones = pages.select(F.col(id_col).alias("record_id"), payload.alias("p")).where(F.octet_length("p") >= least).select("record_id", F.sha2("p", 256).alias("same"))
-    first = long_ones.groupBy("same").agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    joined = rows.join(first, F.col("digest") == F.col("same"), "left")
+    first = rows.where(F.octet_length("payload") >= least).select("record_id", F.unhex("digest").alias("same")).groupBy("same").agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = written(first.where("n > 1 AND first IS NOT NULL").drop("n"), "repeated")
+    if first.count() <= SENT_DIGESTS:
+        first = F.broadcast(first)
+    joined = rows.join(first, F.unhex("digest") == F.col("same"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first"))
     return joined.select("record_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -57,15 +61,25 @@ def chunk_table(records: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     return exploded.select("record_id", "url", "refers_to", "digest", "length", "chunk_no", (F.col("chunk_no") == F.col("n") - 1).alias("last"), part.alias("chunk"))
 
 
+def _name(record_id: object) -> str:
+    """A record's id in its name: empty for null, else marked and percent-encoded."""
+    return "" if record_id is None else f"~{quote(str(record_id), safe='')}"
+
+
+def _id(name: str | None) -> str | None:
+    found = "" if name is None else name.removeprefix("<urn:record:").rpartition(":")[0]
+    return unquote(found[1:]) if found else None
+
+
 def _segment(row: dict, whole: str, block: str) -> bytes:
     first, data = row["chunk_no"] == 0, row["chunk"]
     revisit = row["refers_to"] is not None
-    name = "null" if row["record_id"] is None else row["record_id"]
+    name = _name(row["record_id"])
     lines = ["WARC/1.1", f"WARC-Type: {('revisit' if revisit else 'response') if first else 'continuation'}", f"WARC-Record-ID: <urn:record:{name}:{row['chunk_no']}>"]
     if row["url"] is not None and first:
         lines.append(f"WARC-Target-URI: {' '.join(row['url'].split())}")
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:record:{row['refers_to']}:0>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: <urn:record:{_name(row['refers_to'])}:0>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     if not (first and row["last"]):
         lines += [f"WARC-Segment-Number: {row['chunk_no'] + 1}", f"WARC-Segment-Origin-ID: <urn:record:{name}:0>"]
     lines.append(f"WARC-Block-Digest: sha256:{block}")
@@ -80,6 +94,7 @@ def write_archives(chunks: DataFrame, path: str) -> None:
     """Write the chunk table as ``.warc.gz`` files under ``path``; one streaming pass, no shuffle."""
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         running, of = hashlib.sha256(), None
         for batch in batches:
             out = []
@@ -146,9 +161,8 @@ class _Reader:
         if r is None:
             return
         h, kind = r["h"], r["h"]["warc-type"]
-        name = lambda x: None if x is None or (n := x.removeprefix("<urn:record:").rpartition(":")[0]) == "null" else n
         complete = r["ok"] and "digest" in r and (kind == "revisit" or (r["bytes"] == r["length"] and r["sha"].hexdigest() == r["digest"]))
-        self.done.append({"record_id": name(h["warc-record-id"]), "url": h.get("warc-target-uri"), "record_type": kind, "refers_to": name(h.get("warc-refers-to")), "payload_bytes": r.get("length", r["bytes"]), "payload_digest": r.get("digest", r["sha"].hexdigest()), "segments": r["segments"], "complete": complete})
+        self.done.append({"record_id": _id(h["warc-record-id"]), "url": h.get("warc-target-uri"), "record_type": kind, "refers_to": _id(h.get("warc-refers-to")), "payload_bytes": r.get("length", r["bytes"]), "payload_digest": r.get("digest", r["sha"].hexdigest()), "segments": r["segments"], "complete": complete})
 
     def take(self) -> list[dict]:
         done, self.done = self.done, []
@@ -159,6 +173,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row a record of the archives under ``path``: ids, type, url, length, digest, segments, and whether all digests hold."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         reader, at = _Reader(), None
         schema = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("segments", pa.int32()), ("complete", pa.bool_())])
         for batch in batches:
@@ -181,6 +196,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, chunk: int = CHUNK, path: str | None = None) -> DataFrame:
     """Write the archives of ``pages`` (to ``path`` or the shared folder) and return what reading them gives."""
     spark = pages.sparkSession
+    bound_batches(spark)
     path = path or table_path(spark, "warc")
     write_archives(chunk_table(plan_records(pages, id_col=id_col, url_col=url_col, payload_col=payload_col, least=least), chunk=chunk), path)
     read = read_archives(spark, path)
