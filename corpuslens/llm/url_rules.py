@@ -7,13 +7,16 @@ and confidence on, and only where no subset of a kept rule says the same. The ru
 index from one token of each rule (its rarest) to the rule, so a URL is compared only with rules that
 hold one of its tokens.
 
-The labelled URLs are a fixed small set (``LABELLED``): the label table of the corpus marks texts, not
-URLs. The number of mined rules is bounded by them, so the index goes to every task.
+Labelled URLs are a table of (url, label) that the caller may give. Without one they are ``labelled_urls``:
+several thousand URLs drawn by a rule from words that public block lists sort sites by and from ordinary words,
+ambiguous ones among both. The label table of the corpus marks texts, and its labels are independent of the
+hosts of the pages (README), so it is not used. Mining is a Spark job over a table of any size; the number of
+mined rules is bounded by 1 / support and the vocabulary, so the index goes to every task.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and the verdict of a URL
 without tokens (allow); a host of any case is compared in lower case (A-Z only); ports and user names
-stay part of the host; repeated rows are judged each; an empty table gives an empty result; extra
-columns are ignored.
+stay part of the host; of list rules of one length the first wins; without labelled URLs nothing is mined;
+repeated rows are judged each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,29 +26,42 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (verdict, host, path): the contract's list.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Labelled URLs, written for this operator.
-BLOCKED = (
-    "casino-win.example.com/play", "www.casino-win.example.org/en/1", "best.casino-win.example.net/slots", "casino-win.example.com/bonus", "grand-casino.example.org/slots", "casino-royal.example.com/poker",
-    "free-bets.example.com/today", "www.free-bets.example.net/odds", "free-bets.example.org/en/5", "m.free-bets.example.com/win", "sports-bets.example.org/odds", "live-bets.example.com/odds",
-    "cheap-pills.example.com/order", "www.cheap-pills.example.org/en/9", "cheap-pills.example.net/shop", "m.cheap-pills.example.com/buy", "diet-pills.example.com/order", "sleep-pills.example.org/buy",
-    "adult-x.example.com/video", "www.adult-x.example.net/en/2", "adult-x.example.org/cams", "blog.adult-x.example.com/18", "adult-cams.example.com/live", "adult-video.example.org/18",
-    "spam-farm.example.org/en/3", "www.spam-farm.example.com/links", "spam-farm.example.net/a", "blog.spam-farm.example.com/seo", "link-spam.example.com/seo", "spam-links.example.org/seo",
-    "ads-track.example.com/pixel", "www.ads-track.example.net/click", "ads-track.example.org/en/4", "m.ads-track.example.com/c", "click-ads.example.com/track", "ads-server.example.org/click",
-)
-ALLOWED = (
-    "www.library.example.org/en/books", "blog.garden.example.com/en/spring", "m.news.example.net/fr/today", "university.example.org/de/physics", "museum.example.com/es/visit", "weather.example.net/en/week",
-    "docs.python.example.org/en/tutorial", "recipes.example.com/fr/soup", "www.railway.example.net/de/timetable", "town-hall.example.org/es/services", "music-school.example.com/en/lessons", "blog.river-walk.example.net/en/map",
-    "www.cheap-flights.example.com/en/rome", "free-software.example.org/en/download", "win-win-negotiation.example.com/en/course", "farm-shop.example.org/en/apples", "track-and-field.example.net/en/results", "adult-education.example.org/en/evening",
-    "m.journal.example.com/de/issue", "archive.example.org/fr/letters", "www.astronomy.example.net/es/moon", "blog.kitchen.example.com/de/bread", "forum.example.org/en/topic", "www.hospital.example.com/fr/visit",
-    "shop.example.com/order", "www.bookshop.example.org/buy", "probability.example.net/odds", "marketing.example.com/seo", "booking.example.org/slots", "design-course.example.net/click", "project-x.example.com/video", "planet-x.example.org/live",
-    "theatre.example.com/play", "university.example.org/links", "clinic.example.net/order", "toys.example.com/buy", "statistics.example.org/odds", "agency.example.net/seo", "x-ray.example.com/en/scan", "win.example.org/en/prize",
-)
+# Words by which public block lists sort sites, with words that often stand beside them; and ordinary words.
+BLOCKED = {
+    "gambling": ("casino poker roulette jackpot blackjack slots bets betting bingo lottery sportsbook bookmaker gamble", "lucky mega vegas royal spin club world play live"),
+    "pharmacy": ("viagra cialis pills pharmacy meds tramadol xanax tablets rx steroids", "discount generic online express no quick order direct"),
+    "adult": ("porn xxx sex nude cams escort hentai milf erotic webcam", "hot video girls tube night free live room"),
+    "spam": ("spam seo backlinks linkfarm autosurf spambot clickbait traffic guestposts", "network boost rank top blast machine host power"),
+    "advertising": ("ads adserver banner popunder tracker tracking telemetry doubleclick adclick analyticsads", "server pixel media count serve sync cdn edge"),
+    "malware": ("warez keygen crack torrent phishing malware serials cracked", "download full zone free files mirror soft patch"),
+}
+ORDINARY = "library garden news university museum weather recipes railway school music river kitchen forum hospital theatre clinic statistics travel farm village history science sport cycling coffee bakery market energy climate painting chess hiking boat mountain letters journal archive physics biology poetry market shop order video room night free live world play top soft media count host files power machine win cheap farm track link adult"
+
+
+def labelled_urls(spark: SparkSession, n: int = 6000) -> DataFrame:
+    """(url, label): ``n`` URLs by a rule on the row's number, a third of them blocked."""
+
+    def pick(words: str, salt: int) -> Column:
+        listed = words.split()
+        return F.element_at(F.array(*map(F.lit, listed)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(listed))) + 1).cast("int"))
+
+    kind = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3 * len(BLOCKED)))
+    ordinary, other = pick(ORDINARY, 2), pick(ORDINARY, 3)
+    host, label = F.concat_ws("-", ordinary, other), F.lit("allow")
+    for k, (bad, beside) in enumerate(BLOCKED.values()):
+        two = F.when(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(2)) == 0, F.concat_ws("-", pick(bad, 5), pick(beside, 6))).otherwise(F.concat_ws("-", pick(f"{beside} {ORDINARY}", 7), pick(bad, 8)))
+        host, label = F.when(kind == k, two).otherwise(host), F.when(kind == k, F.lit("block")).otherwise(label)
+    page = F.concat_ws("/", pick("en de fr es it", 9), pick(ORDINARY, 10))
+    url = F.concat(F.lit("https://"), pick("www. m. blog. shop.", 11), host, F.lit(".example."), pick("com org net", 12), F.lit("/"), page)
+    return spark.range(n).select(url.alias("url"), label.alias("label"))
+
+
 #: Tokens that any URL may hold say nothing.
 COMMON = frozenset("http https www m blog example com net org en de fr es html page ref utm source feed top".split())
 
@@ -69,17 +85,21 @@ def url_tokens(host: str, path: str) -> list[str]:
 def list_rule(host: str, path: str, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[str, str] | None:
     """(rule as text, verdict) of the longest rule that fits."""
     fits = [(h + p, v) for v, h, p in rules if (host == h or host.endswith(f".{h}")) and path.startswith(p)]
-    return max(fits, key=lambda f: len(f[0]), default=None)
+    return max(fits, key=lambda f: len(f[0]), default=None)  # of equal lengths the first
 
 
-def mine_rules(spark: SparkSession, labelled: Iterable[tuple[str, str]], *, support: float = 0.04, confidence: float = 0.9) -> list[tuple[str, ...]]:
-    """Token sets that imply ``block``, mined by FP-growth and pruned by support, confidence and subsumption."""
-    baskets = [(url_tokens(*split_url(f"http://{u}")) + [f"={label}"],) for u, label in labelled]
-    frame = spark.createDataFrame(baskets, "items array<string>")
-    mined = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(frame).associationRules
-    found = [tuple(sorted(r.antecedent)) for r in mined.where(F.array_contains("consequent", "=block")).select("antecedent").collect() if not any(t[0] == "=" for t in r.antecedent)]
-    found = sorted(set(found), key=lambda t: (len(t), t))
-    return [t for k, t in enumerate(found) if not any(set(s) < set(t) for s in found[:k])]
+def mine_rules(labelled: DataFrame, *, support: float = 0.002, confidence: float = 0.9) -> list[tuple[str, ...]]:
+    """Token sets that imply ``block``, mined by FP-growth from (url, label) and pruned by support, confidence and subsumption."""
+    tokens = F.udf(lambda url: url_tokens(*split_url(url)), "array<string>")
+    baskets = labelled.where("url IS NOT NULL AND label IS NOT NULL").select(F.concat(tokens("url"), F.array(F.concat(F.lit("="), F.col("label")))).alias("items"))
+    mined = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
+    rules = mined.where(F.array_contains("consequent", "=block") & ~F.exists("antecedent", lambda t: t.startswith("=")))
+    found = sorted({tuple(sorted(r.antecedent)) for r in rules.select("antecedent").collect()}, key=lambda t: (len(t), t))
+    kept: list[tuple[str, ...]] = []
+    for rule in found:
+        if not any(set(k) < set(rule) for k in kept):
+            kept.append(rule)
+    return kept
 
 
 class RuleIndex:
@@ -99,11 +119,10 @@ class RuleIndex:
         return any(rule <= have for t in tokens for rule in self.index.get(t, ()))
 
 
-def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, labelled: Iterable[tuple[str, str]] | None = None, support: float = 0.04, confidence: float = 0.9) -> DataFrame:
+def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, support: float = 0.002, confidence: float = 0.9) -> DataFrame:
     """One row a page: id, host, path, rule (or null), verdict. One pass over the URL column, no shuffle."""
-    if labelled is None:
-        labelled = [*((u, "block") for u in BLOCKED), *((u, "allow") for u in ALLOWED)]
-    index = RuleIndex(mine_rules(pages.sparkSession, labelled, support=support, confidence=confidence))
+    labelled = labelled_urls(pages.sparkSession) if labelled is None else labelled
+    index = RuleIndex(mine_rules(labelled, support=support, confidence=confidence))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
