@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.hashing import bound_batches, mix, small_batches, words
+from corpuslens.llm.hashing import bound_batches, lean, small_batches, words
 
 WINDOW, STRIDE, STATE, WORD_DIMS, CHAR_DIMS, BUCKETS = 32, 24, 8, 8, 8, 1 << 14
 CHUNK = 1024
@@ -294,11 +294,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     asked = asked.where(~held_out(F.col("i"), folds, fold))
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").where(F.octet_length("t") <= longest)
     order = F.xxhash64(F.lit(11), F.col("i"))
-    # the ids first, so that only the sample's texts travel
+    # the ids first, so that only the sample's texts travel; of the rows of a repeated id the least text is taken
     chosen = texts.select("i").join(asked, "i").select("i", "y").distinct().orderBy(order, "i").limit(sample)
-    rows = texts.join(chosen, "i").select(F.lit(0).alias("all"), "i", "t", "y")
+    rows = texts.join(chosen, "i").groupBy("i", "y").agg(F.min("t").alias("t")).select(F.lit(0).alias("all"), "i", "t", "y")
 
     def trained(group: pa.Table) -> pa.Table:
+        lean()
         taken = sorted(zip(*(group.column(c).to_pylist() for c in ("i", "t", "y")), strict=True))
         network = train([t.encode() for _, t, _ in taken], np.array([y for _, _, y in taken]) == 1)
         return pa.table({"network": pa.array([pickle.dumps(network)], pa.binary())})
@@ -309,33 +310,32 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, network: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: all its columns and ``score``, the highest of its windows' (0 to 1)."""
+    """(id, score) of each row of ``docs``: the highest score of its windows (0 to 1). Texts go into Python, but do not come back."""
     spark = docs.sparkSession
     bound_batches(spark)
     sent = spark.sparkContext.broadcast(network)  # a few MB: bounded by the training sample
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         net = sent.value
-        for whole in rows:
-            for batch in small_batches(whole, text_col):
-                texts = batch.column(text_col).cast(pa.binary()).to_pylist()
-                if net.constant is not None:
-                    best = np.full(len(texts), net.constant)
-                else:
-                    w = Words(texts)
-                    index, of = w.windows()
-                    logit = net.logits(w, index)
-                    worst = np.maximum.reduceat(logit, np.searchsorted(of, np.arange(len(texts)))).astype(float)
-                    best = _sigmoid(net.scale * worst + net.shift)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.float64())], names=[*batch.schema.names, "score"])
-
-    docs = docs.withColumnsRenamed({"score": "score_"}) if "score" in docs.columns else docs
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(batches, f"{schema}, score double")
+        for batch in (part for whole in rows for part in small_batches(whole, limit=1 << 20)):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            if net.constant is not None:
+                best = np.full(len(texts), net.constant)
+            else:
+                w = Words(texts)
+                index, of = w.windows()
+                worst = np.maximum.reduceat(net.logits(w, index), np.searchsorted(of, np.arange(len(texts)))).astype(float)
+                best = _sigmoid(net.scale * worst + net.shift)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(best, pa.float64())], names=["id", "score"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(batches, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, folds: int = 4, fold: int = 2, **training) -> DataFrame:
     """One row a document: id, held_out, score, predicted (1 where the score is at least ``threshold``)."""
     network = fit(docs, labels, id_col=id_col, text_col=text_col, folds=folds, fold=fold, **training)
-    scored = score(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")), network, id_col=id_col)
+    scored = score(docs, network, id_col=id_col, text_col=text_col)
     return scored.select(id_col, held_out(F.col(id_col), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
