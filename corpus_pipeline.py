@@ -1,63 +1,5 @@
-"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, source mixing.
+"""The corpus pipeline, as the driver finds it at the top of the repository; its stages are in ``corpuslens.llm.pipeline``."""
 
-Each stage reads the table its predecessor wrote, works on all of it, and writes its own.
-"""
+from corpuslens.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from corpuslens.llm import decontaminate, forest, mixing, toxicity
-from corpuslens.plans.lineage import written
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network, trained on the labelled ones among them, scores below 0.3."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return scored.where(F.col("score") < 0.3).select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id, once; rows without an id stay."""
-    judged = forest.near_duplicates(docs, width=5, least=80)
-    # one small row an id; texts are shuffled only where an id repeats
-    ids = judged.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.bool_and("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    ids = written(ids.where("NOT stays OR n > 1"), "decided")
-    kept = docs.join(ids.where("NOT stays OR n > 1"), F.col("doc_id") == F.col("id"), "left_anti")
-    repeated = ids.where("stays AND n > 1")
-    if not repeated.isEmpty():
-        kept = kept.unionByName(docs.join(repeated, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
-    return kept
-
-
-def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified overlap with any benchmark item."""
-    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix to target weights: doc_id, source, size, source_size, target, taken (words, repeats counted), copies; documents it does not reach have taken 0."""
-    mixed = mixing.mixed_documents(docs)
-    return mixed.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken", "copies")
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_benchmark_leaks),
-    ("mixing", mix_sources),
-]
-#: The network, the shuffled order and the forest's hashes can't be said in SQL; tests hold each stage against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
