@@ -11,8 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Trailing words of company names and generic words of target names.
-LEGAL_SUFFIXES = ("inc", "incorporated", "corp", "corporation", "co", "company", "llc", "ltd", "limited", "plc", "lp", "holdings", "group", "sa", "nv", "ag")
+from corpuslens.functions.fixed import LEGAL_SUFFIXES, PROBE_GENERIC_TOKENS
+
+# What counts as a word and as a model's token.
 WORD = r"(?U)\b[\w'’-]+\b"
 MODEL_TOKEN = r"[a-z][a-z0-9]*(?:[-'][a-z0-9]+)*"
 
@@ -48,10 +49,14 @@ def shingles(tokens: Column, n: int = 3) -> Column:
     return F.when(F.size(tokens) < n, F.array_distinct(tokens)).otherwise(F.array_distinct(ngrams(tokens, n)))
 
 
-def phrase_pattern(term: str) -> str:
-    """A pattern for a term as whole words, any space or hyphen between its words, plural allowed on the last."""
-    words = [re.escape(w) for w in re.split(r"[\s-]+", term.strip().lower())]
-    return r"(?U)(?<!\w)" + r"[\s-]+".join(words) + r"s?(?!\w)"
+def phrase_pattern(term: str, *, every: bool = True) -> str:
+    """A pattern for a term as whole words, any space or hyphen between its words, plural allowed on the last.
+
+    Without ``every`` a single word has no plural, nor a last word that ends in s.
+    """
+    words = [re.escape(w) for w in re.split(r"[\s-]+" if every else r"\s+", term.strip().lower())]
+    plural = "s?" if every or (len(words) > 1 and not words[-1].endswith("s")) else ""
+    return r"(?U)(?<!\w)" + r"[\s-]+".join(words) + plural + r"(?!\w)"
 
 
 def phrase_count(text: Column, term: str) -> Column:
@@ -90,8 +95,8 @@ def padded_number(value: Column, width: int = 10) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences in order: split after . ! ? before white space, blank ones left out."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    """Sentences in order: split after . ! ? ; before white space and at line ends, blank ones left out."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?;])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 @F.pandas_udf(StringType())
@@ -114,6 +119,6 @@ def mask_names(text: Column, aliases: Column, mask: str = "entitytoken") -> Colu
     return F.aggregate(quoted, text, lambda t, pattern: F.regexp_replace(t, pattern, F.lit(mask)))
 
 
-def distinctive_tokens(name: Column, generic: Sequence[str] = LEGAL_SUFFIXES, least: int = 3) -> Column:
-    """Words of a normalized name that may tell it apart."""
-    return F.filter(F.array_distinct(F.split(company_name(name), " ")), lambda w: (F.length(w) >= least) & ~w.isin(*generic))
+def distinctive_tokens(name: Column, generic: Sequence[str] = PROBE_GENERIC_TOKENS, least: int = 3) -> Column:
+    """Words of a name, in order, that may tell it apart: no short and no generic ones."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= least) & ~w.isin(*generic))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,24 +11,13 @@ from corpuslens.functions.ids import hash_half, seeded_rank, stable_id
 from corpuslens.operators import documents as D
 from corpuslens.operators import relational as O
 from corpuslens.operators import topics as P
+from corpuslens.plans.registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 TERMS = {"article": ("the", "a"), "link": ("and", "is", "on"), "legal": ("license", "licensed under", "apache license")}
 SEED = 20260823
 TOKENS_SQL = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _t(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
@@ -363,13 +350,12 @@ def event_profile(spark, d):
     return _t(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"), F.min_by("event_type", "event_id").alias("first"), F.round(F.max("value"), 6).alias("peak"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("peak_event"))
 
 
-@query("PIVOT_PLACEHOLDER")
-def evidence_pivot(spark, d):
-    kinds = [r[0] for r in _t(spark, d, "events").select("event_type").distinct().orderBy("event_type").collect()]
-    return _t(spark, d, "events").groupBy("user_id").pivot("event_type", kinds).agg(F.count(F.lit(1))).na.fill(0)
+KINDS = ("view", "signup", "click", "error", "purchase")
 
 
-ORACLE_SQL["evidence_pivot"] = "SELECT * FROM (PIVOT (SELECT user_id, event_type FROM events) ON event_type USING count(*) GROUP BY user_id)"
+@query("SELECT user_id, " + ", ".join(f'count(*) FILTER (WHERE event_type = \'{k}\') AS "{k}"' for k in KINDS) + " FROM events GROUP BY 1")
+def evidence_pivot(spark, d):
+    return _t(spark, d, "events").groupBy("user_id").pivot("event_type", list(KINDS)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query("SELECT n_nationkey AS id, 'nation' AS kind, n_name AS name, CAST(NULL AS DOUBLE) AS acctbal FROM nation UNION ALL SELECT s_suppkey, 'supplier', s_name, s_acctbal FROM supplier")
@@ -419,7 +405,7 @@ def nearest_in_time(spark, d):
     return O.nearest(_t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], gap, [F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "place")
 
 
-@query("""SELECT s_suppkey, trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '^(the )+', ''), '( (inc|corp|co|group))+$', '')) AS name, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik FROM supplier""")
+@query("""SELECT s_suppkey, trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '^(the )+', ''), '( (corp|corporation|inc|incorporated|limited|llc|ltd|plc|sa))+$', '')) AS name, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik FROM supplier""")
 def entity_names(spark, d):
     return _t(spark, d, "supplier").select("s_suppkey", T.company_name(F.col("s_name")).alias("name"), T.padded_number(F.col("s_suppkey")).alias("cik"))
 
@@ -437,3 +423,6 @@ def deep_link(spark, d):
 
     joined = _t(spark, d, "pages").select("page_id", "url", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("quote"))
     return joined.select("page_id", text_fragment("url", "quote").alias("l")).select("page_id", "l.*")
+
+
+from corpuslens.plans import passage_queries  # noqa: E402, F401  (registers its queries)
