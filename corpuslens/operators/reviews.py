@@ -118,7 +118,7 @@ def topic_packet(assigned: DataFrame, *, seed: int | str, topic: str, family: st
     """(packet, key): the best passages of each topic, of different families first, under blind names and in a seeded order."""
     chosen = diverse_top(assigned.where(F.col("primary_topic")), [topic], family, F.col(weight), ident, each)
     blind, item = stable_id("theme_", F.lit(str(seed)), topic, length=8), stable_id("item_", F.lit(str(seed)), topic, ident, length=12)
-    rows = chosen.withColumns({"blind_topic_id": blind, "item_id": item, "_order": seeded_rank(seed, "topic-review", topic, ident)})
+    rows = chosen.withColumns({"blind_topic_id": blind, "item_id": item, "_order": seeded_rank(seed, F.lit("topic-review"), topic, ident)})
     rank = F.row_number().over(Window.partitionBy("blind_topic_id").orderBy("_order"))
     rows = rows.withColumn("item_rank", rank)
     return rows.select("item_id", "blind_topic_id", "item_rank", *public), rows.select("item_id", "blind_topic_id", topic, ident, weight)

@@ -425,4 +425,4 @@ def deep_link(spark, d):
     return joined.select("page_id", text_fragment("url", "quote").alias("l")).select("page_id", "l.*")
 
 
-from corpuslens.plans import passage_queries  # noqa: E402, F401  (registers its queries)
+from corpuslens.plans import deal_queries, passage_queries, topic_queries  # noqa: E402, F401  (register their queries)
