@@ -298,6 +298,72 @@ def test_language_model(spark, docs):
     assert language_model.score_texts(docs.limit(0)).count() == 0
 
 
+def weights_of_tables(n: int, discount: float, new: float) -> np.ndarray:
+    """[t]: total weight of all seatings of n customers at t tables, by listing them."""
+    out, stack = np.zeros(n + 1), [((1,), new)]
+    while stack:
+        sizes, weight = stack.pop()
+        if sum(sizes) == n:
+            out[len(sizes)] += weight
+            continue
+        stack.append(((*sizes, 1), weight * new))
+        stack += [((*sizes[:k], size + 1, *sizes[k + 1 :]), weight * (size - discount)) for k, size in enumerate(sizes)]
+    return out
+
+
+def test_a_customer_that_leaves_takes_the_table_away_as_often_as_in_all_seatings():
+    for n in (2, 3, 4, 5, 6):
+        now, before = (weights_of_tables(m, 0.4, 1.0) for m in (n, n - 1))
+        for t in range(1, n + 1):
+            assert language_model.closing(0.4)[n, t] == pytest.approx(before[t - 1] / now[t])
+
+
+def test_sweeps_keep_to_the_posterior_of_the_tables():
+    copies = 20_000
+    word, salt = np.arange(copies, dtype=np.uint64), np.zeros(copies, np.int64)
+    for n, d, a in ((2, 0.5, 0.8), (4, 0.5, 0.8), (6, 0.3, 2.0)):
+        customers, new = np.full(copies, n), np.full(copies, a)
+        tables = np.ones(copies)
+        for sweep in range(1, 9):
+            tables = language_model.reseat(word, salt, sweep, customers, tables, new, d)
+        chance = weights_of_tables(n, d, a)
+        assert np.abs(np.bincount(tables.astype(int), minlength=n + 1) / copies - chance / chance.sum()).max() < 0.015
+
+
+def test_language_model_scores_are_its_probabilities(spark):
+    """In every context the known words and the unknown one add up to 1, and a text's score is the sum over its tokens."""
+    from math import log10
+    from zlib import crc32
+
+    out = lambda i: crc32(str(i).encode()) % 7 == 2
+    texts = ["a b a c a b d", "a b b c", "c a d a b", "e f g h a b", "Unheard of a b", "b unheard", ""] * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    training = docs.where(~language_model.held_out(F.col("doc_id"), 7, 2))
+    own = language_model.own_contexts(training, 8)
+    contexts = language_model.FIXED + int((own >= 0).sum())
+    assert contexts > language_model.FIXED + 1
+    pairs = language_model.count_pairs(training, own)
+    sampler = language_model.sample(pairs, contexts)
+    model = language_model.predictive(pairs, sampler).collect()
+    back = np.stack([sampler.back(s) for s in (2, 3)])
+    unseen = np.array([sampler.base(s) for s in (2, 3)])
+
+    def chance(word, z):
+        row = next((r for r in model if r.word == word), None)
+        if row is None:
+            return float((unseen * back[:, z]).mean())
+        mine = dict(zip(row.contexts, row.own, strict=True)).get(z, 0.0)
+        return mine + float((np.array(row.parents) * back[:, z]).mean())
+
+    used = {z for r in model for z in r.contexts}
+    for z in used:
+        assert sum(chance(r.word, z) for r in model) + chance(None, z) == pytest.approx(1, abs=1e-5)
+    for r in language_model.score_texts(docs, least_context=8).collect():
+        word, context, _ = language_model.text_tokens([texts[r.doc_id].encode()], own)
+        want = sum(log10(chance(int(w), z)) for w, z in zip(word.view(np.int64), context, strict=True))
+        assert r.score == pytest.approx(want, abs=1e-4) and r.held_out == out(r.doc_id)
+
+
 def test_token_counts_are_the_librarys():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     counter = token_counts.TokenCounter(public_tokenizers.path("piece_bpe_32k.model"))
