@@ -126,16 +126,16 @@ def context_islands(blocks: DataFrame, group: str, order: str, hit: Column, head
 
 def token_hits(docs: DataFrame, ident: str, text: str, terms: dict[str, Sequence[str]]) -> DataFrame:
     """(ident, category, term, start, end): where terms of one or more tokens stand, by token index; at a start the longest term of a category wins."""
+    table = [(category, " ".join(words), words[0], len(words)) for category, terms_ in terms.items() for words in (t.split() for t in terms_)]
+    longest = max(n for *_, n in table)
+    firsts = sorted({first for *_, first, _ in table})
+    # one pass over the tokens keeps the places where some term may begin, with the words that it may need
     rows = docs.select(ident, T.simple_tokens(F.col(text)).alias("t"))
-
-    def places(category: str, term: str) -> Column:
-        parts = term.split()
-        at = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.concat_ws(" ", F.slice("t", i + 1, F.lit(len(parts)))) == term)
-        at = F.when(F.array_contains("t", parts[0]), at).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.lit(category).alias("category"), F.lit(term).alias("term"), i.alias("start"), (i + len(parts)).alias("end")))
-
-    each = [places(category, " ".join(term.split())) for category, terms_ in terms.items() for term in terms_]
-    hits = rows.select(ident, F.explode(F.flatten(F.array(*each))).alias("h")).select(ident, "h.*")
+    begins = F.filter(F.transform("t", lambda word, i: F.when(word.isin(*firsts), i)), lambda i: i.isNotNull())
+    places = rows.select(ident, F.explode(F.transform(begins, lambda i: F.struct(i.alias("start"), F.slice("t", i + 1, F.lit(longest)).alias("words")))).alias("p")).select(ident, "p.*")
+    known = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(t).alias("term"), F.lit(n).alias("n")) for c, t, _, n in table))
+    fits = F.filter(known, lambda k: F.concat_ws(" ", F.slice("words", F.lit(1), k["n"])) == k["term"])
+    hits = places.select(ident, "start", F.inline(fits)).select(ident, "category", "term", "start", (F.col("start") + F.col("n")).alias("end"))
     best = Window.partitionBy(ident, "category", "start").orderBy(F.desc("end"), "term")
     return hits.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
@@ -193,18 +193,16 @@ def near_duplicate_families(docs: DataFrame, ident: str, tokens: Column, *, band
 
 
 def lexicon_rates(docs: DataFrame, ident: Sequence[str], tokens: Column, lexicons: dict[str, Sequence[str]], *, per: int = 100, digits: int = 4) -> DataFrame:
-    """ident, tokens and, for each lexicon, its count and rate; one pass without a join."""
-    rows = docs.select(*ident, tokens.alias("_t")).withColumn("tokens", F.size("_t"))
-    count = lambda terms: F.size(F.filter("_t", lambda t: t.isin(*terms)))
-    for name, terms in lexicons.items():
-        rows = rows.withColumn(f"{name}_count", count(terms))
-        rows = rows.withColumn(f"{name}_rate", T.rate(F.col(f"{name}_count"), F.col("tokens"), per, digits))
-    return rows.drop("_t")
+    """ident (which tells rows apart), tokens and, for each lexicon, its count and rate: one conditional aggregate over the tokens."""
+    each = docs.select(*ident, F.explode_outer(tokens).alias("_t"))
+    rows = each.groupBy(*ident).agg(F.count("_t").alias("tokens"), *(F.count_if(F.col("_t").isin(*terms)).alias(f"{name}_count") for name, terms in lexicons.items()))
+    return rows.withColumns({f"{name}_rate": T.rate(F.col(f"{name}_count"), F.col("tokens"), per, digits) for name in lexicons})
 
 
 def family_baseline(rows: DataFrame, family: str, metric: str, *, least: int = 5, digits: int = 4) -> DataFrame:
     """Adds the mean of the row's family (of all rows where the family is small, flagged) and the residual."""
-    per = rows.groupBy(family).agg(F.avg(metric).alias("_m"), F.count(F.lit(1)).alias("family_size"))
-    overall = rows.agg(F.avg(metric)).first()[0]
-    per = per.withColumn("fallback", F.col("family_size") < least).withColumn("baseline", F.round(F.when(F.col("fallback"), F.lit(overall)).otherwise(F.col("_m")), digits)).drop("_m").withColumnRenamed(family, "_f")
+    per = cut(rows.groupBy(family).agg(F.sum(metric).alias("_s"), F.count(metric).alias("_c"), F.count(F.lit(1)).alias("family_size")))
+    overall = per.agg((F.sum("_s") / F.sum("_c")).alias("_all"))
+    small = F.col("family_size") < least
+    per = per.crossJoin(F.broadcast(overall)).select(F.col(family).alias("_f"), "family_size", small.alias("fallback"), F.round(F.when(small, F.col("_all")).otherwise(F.col("_s") / F.col("_c")), digits).alias("baseline"))
     return rows.join(per, F.col(family).eqNullSafe(F.col("_f"))).drop("_f").withColumn("residual", F.round(F.col(metric) - F.col("baseline"), digits))
