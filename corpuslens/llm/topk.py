@@ -50,8 +50,9 @@ class SortedLists:
         names, often = np.unique(ids, return_counts=True)
         #: Distinct vectors of each id that has more than one.
         self.several = dict(zip(names[often > 1].tolist(), often[often > 1].tolist(), strict=True))
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()  # dimension x rank
+        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)  # dimension x rank
         self.sorted = np.take_along_axis(self.vectors.T, self.order, axis=1)
+        self.real = self.vectors.astype(float)
         self.top = max(int(self.vectors.max(initial=0)), -int(self.vectors.min(initial=0)))
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,29 +73,33 @@ class SortedLists:
             return np.arange(n), self.vectors.astype(object) @ query.astype(object)
         if n <= 2 * k:
             return np.arange(n), self.vectors @ query
-        exact = most < EXACT
-        rising = query < 0  # read from the small end
-        order = np.where(rising[:, None], self.order, self.order[:, ::-1])
-        part = np.where(rising[:, None], self.sorted, self.sorted[:, ::-1]) * query[:, None]  # falls along each list
-        worst, known = part[:, -1], np.zeros(n, np.int64)
-        unread = np.ones((n, dims), float if exact else np.int64)
-        dim, depth = np.arange(dims)[:, None], 0
-        while depth < n:
-            to = min(n, max(2 * k, depth + max(1, n // 8)))
-            rows, add = order[:, depth:to], part[:, depth:to]
-            if exact:
-                known += np.bincount(rows.ravel(), weights=add.ravel().astype(float), minlength=n).astype(np.int64)
-            else:
-                np.add.at(known, rows.ravel(), add.ravel())
-            unread[rows, dim] = 0
+        if most >= EXACT:
+            return np.arange(n), self.vectors @ query
+        weight = query.astype(float)
+        rising = (query < 0)[:, None]  # read from the small end
+        worst = np.where(query < 0, self.sorted[:, -1], self.sorted[:, 0]) * weight
+        dim = np.arange(dims)
+        unread, known = np.ones(n * dims), np.zeros(n)
+        depth, step = 0, max(2 * k, n // 4)
+        while True:
+            # every list on to the same depth, each time twice as deep
+            to = min(n, depth + step)
+            step = to
+            low, high = slice(depth, to), slice(n - to, n - depth)
+            rows = np.where(rising, self.order[:, low], self.order[:, high][:, ::-1])
+            add = np.where(rising, self.sorted[:, low], self.sorted[:, high][:, ::-1]) * weight[:, None]
+            known += np.bincount(rows.ravel(), weights=add.ravel(), minlength=n)
             depth = to
-            bounds = (unread @ np.stack([worst, part[:, depth - 1]], axis=1).astype(unread.dtype)).astype(np.int64)
-            low, high = known + bounds[:, 0], known + bounds[:, 1]
-            bar = np.partition(low, n - k)[n - k]
-            left = np.flatnonzero(high >= bar)
+            if depth == n:  # all is read: the sums are the scores
+                left = np.flatnonzero(known >= np.partition(known, n - k)[n - k])
+                return left, np.rint(known[left]).astype(np.int64)
+            unread[(rows * np.int32(dims) + dim[:, None]).ravel()] = 0
+            open_ = unread.reshape(n, dims)
+            least, most_ = known + open_ @ worst, known + open_ @ add[:, -1]
+            bar = np.partition(least, n - k)[n - k]
+            left = np.flatnonzero(most_ >= bar)
             if len(left) <= 4 * k:
-                break
-        return left, self.vectors[left] @ query
+                return left, np.rint(self.real[left] @ weight).astype(np.int64)
 
 
 def _usable(vector: Column, scale: int) -> Column:
