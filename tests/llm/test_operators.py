@@ -343,8 +343,8 @@ def test_language_model_scores_are_its_probabilities(spark):
     contexts = language_model.FIXED + int((own >= 0).sum())
     assert contexts > language_model.FIXED + 1
     pairs = language_model.count_pairs(training, own)
-    sampler = language_model.sample(pairs, contexts)
-    model = language_model.predictive(pairs, sampler).collect()
+    sampler, model = language_model.sampled(pairs, contexts)
+    model = model.collect()
     back = np.stack([sampler.back(s) for s in (2, 3)])
     unseen = np.array([sampler.base(s) for s in (2, 3)])
 
