@@ -116,12 +116,11 @@ def representative_sources(occurrences: DataFrame, known: DataFrame, deal: str,
 
 
 def subset(corpus: DataFrame, primary: DataFrame, ident: str) -> DataFrame:
-    """Passages that a parent topic explains best (ids in ``primary``); one that the corpus doesn't hold is an error, as is a topic without any."""
+    """Passages that a parent topic explains best (ids in ``primary``); one that the corpus doesn't hold is an error."""
     wanted = primary.select(F.col("passage_id").alias("_w")).distinct()
-    missing = wanted.join(corpus.select(F.col(ident).alias("_h")), F.col("_w") == F.col("_h"), "left_anti").limit(1).agg(F.max("_w").alias("_missing"))
-    rows = corpus.join(wanted, F.col(ident) == F.col("_w"), "left_semi").crossJoin(F.broadcast(missing))
-    checked = F.when(F.col("_missing").isNull(), F.col(ident)).otherwise(F.raise_error(F.concat(F.lit("not in the corpus: "), F.col("_missing").cast("string"))))
-    return rows.withColumn(ident, checked).drop("_missing")
+    rows = wanted.join(corpus, F.col("_w") == F.col(ident), "left")
+    checked = F.when(F.col(ident).isNotNull(), F.col(ident)).otherwise(F.raise_error(F.concat(F.lit("not in the corpus: "), F.col("_w").cast("string"))))
+    return rows.withColumn(ident, checked).select(*corpus.columns)
 
 
 def parsed_hashes(raw: bytes, blocks: Sequence[str]) -> tuple[str, str]:

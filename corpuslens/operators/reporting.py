@@ -143,7 +143,7 @@ def percent(value: Column, digits: int = 1) -> Column:
 
 def table_cell(value: Column) -> Column:
     """Text that can't break a Markdown table."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"\|", r"\\\\|"), r"\s*\n\s*", " ")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"\|", r"\\|"), r"\s*\n\s*", " ")
 
 
 def markdown_table(rows: DataFrame, *, most: int = 1000) -> str:

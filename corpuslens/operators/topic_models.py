@@ -236,7 +236,8 @@ def _linkage(reach: np.ndarray) -> list[tuple[int, int, float, int]]:
 
     def root(i: int) -> int:
         while parent[i] != i:
-            i = parent[i] = parent[parent[i]]
+            parent[i] = parent[parent[i]]
+            i = parent[i]
         return i
 
     for height, a, b in sorted(edges):

@@ -19,7 +19,9 @@ def one(spark, *columns):
 def test_text_functions(spark):
     assert one(spark, T.token_count(F.lit("Employees will vest."))) == (3,)
     assert one(spark, T.employer_name(F.lit("  Acme,  R&D---LLC "))) == ("ACME R D LLC",)
-    assert one(spark, T.company_name(F.lit("The Acme Holdings, Inc."))) == ("acme",)
+    assert one(spark, T.company_name(F.lit("The Delta Holdings, Inc."))) == ("delta holdings",)
+    assert one(spark, T.company_name(F.lit("THE Delta Corp. Ltd"))) == ("delta",)
+    assert one(spark, T.distinctive_tokens(F.lit("New Delta Software Group of Ohio"))) == (["delta", "ohio"],)
     assert one(spark, T.padded_number(F.lit("CIK 123"))) == ("0000000123",)
     assert one(spark, T.phrase_count(F.lit("A retention-bonus and Retention bonuses, retention bonus."), "retention bonus")) == (2,)
     assert one(spark, T.model_text(F.lit("Straße at https://x.org/1 cost 1,000!"))) == ("strasse at urltoken cost numbertoken",)
@@ -53,8 +55,15 @@ def test_leaf_blocks():
 
 
 def test_links():
-    assert fragment_link("https://x.org/a?b=1", "ab-c d")["link"] == "https://x.org/a?b=1#:~:text=ab%2Dc%20d"
-    assert fragment_link(None, "a")["status"] == "missing_url" and fragment_link("ftp://x", "a")["status"] == "not_http"
+    link = lambda u, q: tuple(fragment_link(u, q).values())
+    assert link("https://x.org/a?b=1", "well-known words") == ("https://x.org/a?b=1#:~:text=well%2Dknown%20words", "ok", "exact")
+    assert link("https://x.org/a#top:~:text=old", "some\u200b new\u00a0words")[0] == "https://x.org/a#top:~:text=some%20new%20words"
+    for url, text, status in ((None, "enough words here", "missing_url"), (" ", "enough words here", "missing_url"), ("ftp://x/y", "enough words here", "non_absolute_url"), ("/a/b", "enough words here", "non_absolute_url"), ("https://x.org/a.PDF", "enough words here", "document_format"), ("https://x.org", " \u200b", "empty_quote"), ("https://x.org", "too short", "quote_too_short")):
+        assert link(url, text) == ("", f"unsupported_{status}", "")
+    long = " ".join(f"word{k}" for k in range(100))
+    url, status, kind = link("https://x.org/", long)
+    first, last = url.split("text=")[1].split(",")
+    assert (status, kind) == ("ok", "range") and long.startswith(first.replace("%20", " ") + " ") and long.endswith(" " + last.replace("%20", " ")) and len(first.replace("%20", " ")) <= 150
 
 
 def test_topic_model_recovers_blocks():
