@@ -52,10 +52,11 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[float] = (1, 2, 3), sh
     level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
     capped = (
         totals.withColumns({"cap": cap, "ratio": cap / F.col("weight"), "budget": F.sum("source_size").over(everything) * F.lit(float(share))})
-        .withColumn("level", level)
+        .withColumns({"level": level, "place": F.row_number().over(by_cap)})
         .withColumn("capped", F.col("ratio") <= F.col("level"))
     )
-    settled = F.min(F.when(~F.col("capped"), F.struct("ratio", "level"))).over(everything)["level"]
+    # the first source that is not at its cap sets the level, whatever others have its ratio
+    settled = F.min(F.when(~F.col("capped"), F.struct("place", "level"))).over(everything)["level"]
     target = F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * settled)
     return capped.select("source", "source_size", "weight", "budget", F.least(target, F.col("cap")).alias("target"))
 
