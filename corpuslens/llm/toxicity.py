@@ -259,7 +259,7 @@ def train(texts: list[bytes], toxic: np.ndarray, *, passes: int = 4, batch: int
             for name, grad in grads.items():
                 m[name] = 0.9 * m.get(name, 0) + 0.1 * grad
                 s[name] = 0.99 * s.get(name, 0) + 0.01 * grad * grad
-                net.p[name] = (net.p[name] - rate * (0.75**turn) * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                net.p[name] = (net.p[name] - rate * (0.75 ** (4 * turn / passes)) * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     # the worst window's logit to the chance that the text is toxic: logistic regression on the whole sample
     logit = net.logits(w, index)
     worst = np.maximum.reduceat(logit, np.searchsorted(of, np.arange(len(texts)))).astype(float)
