@@ -339,7 +339,7 @@ def test_language_model_scores_are_its_probabilities(spark):
     texts = ["a b a c a b d", "a b b c", "c a d a b", "e f g h a b", "Unheard of a b", "b unheard", ""] * 6
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     training = docs.where(~language_model.held_out(F.col("doc_id"), 7, 2))
-    own = language_model.own_contexts(training, 8)
+    own = language_model.own_contexts(training, 0.05)
     contexts = language_model.FIXED + int((own >= 0).sum())
     assert contexts > language_model.FIXED + 1
     pairs = language_model.count_pairs(training, own)
@@ -358,7 +358,7 @@ def test_language_model_scores_are_its_probabilities(spark):
     used = {z for r in model for z in r.contexts}
     for z in used:
         assert sum(chance(r.word, z) for r in model) + chance(None, z) == pytest.approx(1, abs=1e-5)
-    for r in language_model.score_texts(docs, least_context=8).collect():
+    for r in language_model.score_texts(docs, least_share=0.05).collect():
         word, context, _ = language_model.text_tokens([texts[r.doc_id].encode()], own)
         want = sum(log10(chance(int(w), z)) for w, z in zip(word.view(np.int64), context, strict=True))
         assert r.score == pytest.approx(want, abs=1e-4) and r.held_out == out(r.doc_id)
