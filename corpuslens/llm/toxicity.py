@@ -213,8 +213,9 @@ class Network:
         return np.concatenate([self.forward(gates, index[k : k + CHUNK]) for k in range(0, len(index), CHUNK)])
 
 
-def train(texts: list[bytes], toxic: np.ndarray, *, passes: int = 4, batch: int = 64, rate: float = 0.02, seed: int = 5) -> Network:
-    """A network for the labelled texts; deterministic."""
+def train(texts: list[bytes], toxic: np.ndarray, *, passes: int | None = None, batch: int = 64, rate: float = 0.02, seed: int = 5) -> Network:
+    """A network for the labelled texts; deterministic. Small samples are gone through more often: ``passes``, or 4 to 8 by their size."""
+    passes = passes or min(8, max(4, 6000 // max(1, len(texts))))
     w = Words(texts)
     words_in = np.unique(np.stack([np.repeat(np.arange(len(texts)), np.diff(w.firsts)), w.tokens], axis=1), axis=0) if len(w.tokens) else np.zeros((0, 2), int)
     often = np.bincount(words_in[:, 1], minlength=len(w.hashes))
