@@ -223,3 +223,21 @@ def retrieval_queue(probed: DataFrame, *, positive: Sequence[str], limit: int |
     """Probe-positive rows in the order of the probe's ranks, with literal columns; ``limit`` is the caller's."""
     queue = probed.where(F.col("probe_status").isin(*positive)).withColumns({k: F.lit(v) for k, v in literals.items()})
     return queue if limit is None else queue.limit(limit)
+
+
+def manifest_rows(candidates: DataFrame, assessed: DataFrame, deal: str) -> DataFrame:
+    """The frozen manifest: each candidate with its assessment, closing date and status; a deal that was never assessed says so.
+
+    candidates: deal, closing_date, ...; assessed: deal, qualifies, distinct_terms, missingness_reason.
+    """
+    held = assessed.select(F.col(deal).alias("_d"), "qualifies", "distinct_terms", "missingness_reason")
+    rows = candidates.join(held, F.col(deal) == F.col("_d"), "left")
+    evidence = F.coalesce(F.nullif(F.concat_ws("; ", "distinct_terms"), F.lit("")), F.nullif("missingness_reason", F.lit("")), F.lit("assessment_failed"))
+    return rows.withColumns(
+        {
+            "ai_relevance_evidence": evidence,
+            "verification_status": F.when(F.col("_d").isNull(), "assessment_failed").when(F.col("qualifies"), "machine_verified_pending_human_review").otherwise("not_qualifying"),
+            "deal_status": F.when(F.col("closing_date").isNull(), "unclear").otherwise("completed"),
+            "closing_date": F.coalesce(F.col("closing_date").cast("string"), F.lit("unknown")),
+        }
+    ).drop("_d", "distinct_terms", "missingness_reason", "qualifies")

@@ -413,3 +413,43 @@ def topic_subset(spark, d):
     primary = table(spark, d, "orders").where("o_orderstatus = 'F'").select(k.alias("passage_id"))
     chosen = C.subset(corpus, primary, "o_orderkey")
     return E.screened_out(chosen, "document_type", ["ex-99"])[0].select("o_orderkey", F.lit("kept").alias("kind"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN closed IS NULL THEN 'unknown' ELSE CAST(closed AS VARCHAR) END AS closing_date, CASE WHEN closed IS NULL THEN 'unclear' ELSE 'completed' END AS deal_status, CASE WHEN o_orderkey % 3 = 0 THEN 'assessment_failed' WHEN o_orderkey % 3 = 1 THEN 'deep learning; robotics' ELSE 'no_target_mention' END AS ai_relevance_evidence,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'assessment_failed' WHEN o_orderkey % 3 = 1 THEN 'machine_verified_pending_human_review' ELSE 'not_qualifying' END AS verification_status FROM orders LEFT JOIN {CLOSED_SQL} ON l_orderkey = o_orderkey""")
+def manifest_rows(spark, d):
+    k = F.col("o_orderkey")
+    assessed = table(spark, d, "orders").where("o_orderkey % 3 > 0").select("o_orderkey", (k % 3 == 1).alias("qualifies"), F.when(k % 3 == 1, F.array(F.lit("deep learning"), F.lit("robotics"))).alias("distinct_terms"), F.when(k % 3 == 1, "").otherwise("no_target_mention").alias("missingness_reason"))
+    return E.manifest_rows(_closed(spark, d).select("o_orderkey", F.col("closed").alias("closing_date")), assessed, "o_orderkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'pass' WHEN o_orderkey % 3 = 0 THEN 'fail' WHEN o_orderkey % 3 = 1 THEN 'pending_human_corpus_validation' ELSE 'fail' END AS release FROM orders")
+def release_states(spark, d):
+    k = F.col("o_orderkey")
+    corpus = pick(("failed_human_corpus_validation", "pending_human_corpus_validation", "accepted_human_corpus_validation"), k)
+    return table(spark, d, "orders").select("o_orderkey", E.release_status(k % 5 == 0, corpus).alias("release"))
+
+
+@query("SELECT o_orderkey, 'v1: ' || code || ' ' || CASE code WHEN '7370' THEN 'services' ELSE 'software' END AS rationale FROM (SELECT o_orderkey, " + _CODE + " AS code FROM orders) WHERE code IN ('7370', '7372') UNION ALL SELECT o_orderkey, NULL FROM (SELECT o_orderkey, " + _CODE + " AS code FROM orders) WHERE code NOT IN ('7370', '7372')")
+def code_screen(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", G.code_rationale(pick(CODES, F.col("o_orderkey")), {"7370": "services", "7372": "software"}, "v1").alias("rationale"))
+
+
+@query("""SELECT c_custkey, v, CAST(n AS INTEGER) AS n FROM (SELECT c_custkey, c_mktsegment AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) WHERE n <= 12""")
+def first_documents(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("v"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("n"))
+    return rows.where("n <= 12")
+
+
+@query("""SELECT o_orderstatus AS status, o_orderkey, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY len(regexp_extract_all(o_orderpriority, '[A-Z]')) DESC, o_orderkey) AS place FROM orders) WHERE place <= 40""")
+def ordered_tops(spark, d):
+    rows = table(spark, d, "orders").withColumn("status", F.col("o_orderstatus"))
+    order = Window.partitionBy("status").orderBy(F.regexp_count("o_orderpriority", F.lit("[A-Z]")).desc(), "o_orderkey")
+    return rows.withColumn("place", F.row_number().over(order)).where("place <= 40").select("status", "o_orderkey", "place")
+
+
+@query("SELECT o_orderkey, round(o_totalprice / 7, 3) AS x, CASE WHEN shown LIKE '%.%' THEN rtrim(rtrim(shown, '0'), '.') ELSE shown END AS shown FROM (SELECT o_orderkey, o_totalprice, printf('%.10f', round(o_totalprice / 7, 3)) AS shown FROM orders)")
+def plain_numbers(spark, d):
+    from corpuslens.operators.reporting import plain_number
+
+    return table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 7, 3).alias("x")).withColumn("shown", plain_number(F.col("x")))
