@@ -340,7 +340,7 @@ def canonical_urls(spark, d):
     return rows.select("page_id", V.canonical_url(V.unwrapped_url(F.col("url")), "example.org").alias("canonical"))
 
 
-@query("SELECT o_orderkey, file AS source_file, rn AS source_row, o_totalprice FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS file, row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) AS rn FROM orders) WHERE rn % 5 = 0")
+@query("SELECT o_orderkey, file AS source_file, CAST(rn AS INTEGER) AS source_row, o_totalprice FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS file, row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) AS rn FROM orders) WHERE rn % 5 = 0")
 def nth_rows(spark, d):
     k = F.col("o_orderkey")
     rows = table(spark, d, "orders").withColumn("source_file", F.when(k % 2 == 0, "a").otherwise("b")).withColumn("source_row", F.row_number().over(Window.partitionBy("source_file").orderBy("o_orderkey")))
