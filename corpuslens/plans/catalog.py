@@ -11,6 +11,7 @@ from corpuslens.functions.ids import hash_half, seeded_rank, stable_id
 from corpuslens.operators import documents as D
 from corpuslens.operators import relational as O
 from corpuslens.operators import topics as P
+from corpuslens.plans.lineage import cut
 from corpuslens.plans.registry import ORACLE_SQL, QUERIES, query
 
 TERMS = {"article": ("the", "a"), "link": ("and", "is", "on"), "legal": ("license", "licensed under", "apache license")}
@@ -220,7 +221,7 @@ def lexicon_tone(spark, d):
 @query(f"""WITH t AS {TONE_SQL}, f AS (SELECT source, avg(article_rate) AS m, count(*) AS n FROM t GROUP BY 1)
     SELECT lang, count(*) AS passages, CAST(sum(tokens) AS BIGINT) AS tokens, round(avg(article_rate), 3) AS article_rate, round(avg(article_rate - round(CASE WHEN n < 5 THEN (SELECT avg(article_rate) FROM t) ELSE m END, 4)), 3) AS residual FROM t JOIN f USING (source) GROUP BY 1""")
 def deal_tone(spark, d):
-    rows = D.family_baseline(_tone(spark, d), "source", "article_rate", least=5)
+    rows = D.family_baseline(cut(_tone(spark, d)), "source", "article_rate", least=5)
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("passages"), F.sum("tokens").cast("long").alias("tokens"), F.round(F.avg("article_rate"), 3).alias("article_rate"), F.round(F.avg("residual"), 3).alias("residual"))
 
 
