@@ -6,8 +6,10 @@ best, all to the same depth. What has been read gives each vector a lower bound
 their list's worst value) and an upper bound (unread components at the value last read). Reading stops
 when no vector outside the k best lower bounds can reach them; the few left have their scores resolved.
 
-Queries meet blocks in groups: every (query group, block) pair is one row of work, so memory is bounded
-by one block and one group, and only k rows a query and block are shuffled to the merge. Equal vectors
+The rows are dealt into parts of at most about ``HELD`` components, each a task's: it lays out its vectors in
+blocks and then answers one query after another, so memory is bounded by a part and a batch of queries. Vectors are
+shuffled once, each query once a part, and k rows a query and part go to the merge. Nothing is joined, broadcast or
+sent to the driver. Equal vectors
 in a block are one entry with their smallest k + 1 distinct ids, each with up to k of its rows: whichever
 of them is the query's own, the others fill a result of k. So groups of copies cost nothing.
 
@@ -30,10 +32,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from corpuslens.llm.hashing import bound_batches
 from corpuslens.plans.lineage import cut
 
 #: Sums of products up to this size are exact in a double.
 EXACT = 1 << 53
+#: Components of the vectors that one task holds (28 bytes each, laid out).
+HELD = 1 << 22
 
 
 class SortedLists:
@@ -108,19 +113,33 @@ def _usable(vector: Column, scale: int) -> Column:
     return F.when(fine, F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(9.2e18)), F.lit(-9.2e18))).cast("long")))
 
 
-def _packed(rows: DataFrame, groups: int, name: str) -> DataFrame:
-    """(dims, name, ids, vectors): rows of (id, v) dealt into ``groups`` groups by a hash of the row, each packed into bytes."""
+class Part:
+    """The vectors that one task holds, in blocks of about ``block`` rows."""
 
-    schema = pa.schema([("dims", pa.int32()), (name, pa.int32()), ("ids", pa.binary()), ("rows", pa.binary()), ("vectors", pa.binary())])
+    def __init__(self, block: int, k: int) -> None:
+        self.block, self.k, self.waiting, self.lists = block, k, [], []
 
-    def pack(key: tuple, group: pa.Table) -> pa.Table:
-        vectors = np.array(group.column("v").to_pylist(), np.int64)
-        ids, row = (group.column(c).to_numpy().astype(np.int64).tobytes() for c in ("id", "row"))
-        return pa.table({"dims": [key[0].as_py()], name: [key[1].as_py()], "ids": [ids], "rows": [row], "vectors": [vectors.tobytes()]}, schema=schema)
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.waiting.append((ids.copy(), vectors.copy()))
+        if sum(len(x) for x, _ in self.waiting) >= 8 * self.block:
+            self.close()
 
-    # dealt by the row's number, so that copies of a row are spread too
-    dealt = rows.select("id", "row", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias(name))
-    return dealt.groupBy("dims", name).applyInArrow(pack, f"dims int, {name} int, ids binary, rows binary, vectors binary")
+    def close(self) -> None:
+        """Lay out what waits, in blocks of one size."""
+        if self.waiting:
+            ids, vectors = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+            self.waiting, n = [], max(1, round(len(ids) / self.block))
+            self.lists += [SortedLists(x, v, self.k) for x, v in zip(np.array_split(ids, n), np.array_split(vectors, n), strict=True)]
+
+    def best(self, ids: np.ndarray, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the part's k best rows for each query. All queries go to one block after another."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+        for one in self.lists:
+            for i, (q, v) in enumerate(zip(ids.tolist(), queries, strict=True)):
+                x, score = (np.concatenate(both) for both in zip(found[i], one.best(q, v, self.k), strict=True))
+                first = np.lexsort((x, ~score))[: self.k]  # ~: the falling order, and no overflow
+                found[i] = x[first], score[first]
+        return found
 
 
 def exact_topk(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, group: int = 256) -> DataFrame:
@@ -128,32 +147,41 @@ def exact_topk(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int =
     if not isinstance(vectors.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} must hold whole numbers")
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), _usable(F.col(vector_col), scale).alias("v"), queries.alias("asks")).where("v IS NOT NULL AND id IS NOT NULL")
+    bound_batches(spark)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), _usable(F.col(vector_col), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where("v IS NOT NULL AND id IS NOT NULL")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    blocks, groups = max(1, -(-n // block)), max(1, -(-asked // group))
-    data = _packed(rows, blocks, "block")
-    asks = _packed(rows.where("asks"), groups, "asker").select("dims", "asker", F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"), F.col("vectors").alias("queries"))
-    # every group of queries goes to every block: an equi-join on the block's number, not a product of rows
-    asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    work = asks.join(data.drop("rows"), ["dims", "block"])
-    found = work.repartition(max(1, min(blocks * groups, 4 * spark.sparkContext.defaultParallelism)), "block", "asker") if blocks * groups > 1 else work
+    n, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    parts = max(1, min(-(-n // block), 4 * spark.sparkContext.defaultParallelism), -(-n * (dims or 0) // HELD))
+    rows = rows.withColumn("dims", F.size("v"))
+    # dealt by the row's number, so that copies of a row are spread too
+    data = rows.select(F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), "dims", F.lit(False).alias("asks"), "id", "row", "v")
+    # every query goes to every part: rows of a union, as a join would be planned by the queries' size before they are copied
+    asks = rows.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "dims", "asks", "id", "row", "v")
+    work = data.unionByName(asks).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "dims", "asks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lists = None, None
-        names = ["query_id", "query_row", "vec_id", "score"]
+        last, held = None, Part(block, k)
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                if last != (row["dims"], row["block"]):
-                    last = (row["dims"], row["block"])
-                    lists = SortedLists(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, row["dims"]), k)
-                asked = zip(np.frombuffer(row["query_ids"], np.int64).tolist(), np.frombuffer(row["query_rows"], np.int64).tolist(), np.frombuffer(row["queries"], np.int64).reshape(-1, row["dims"]), strict=True)
-                out = [(q, r, *lists.best(q, v, k)) for q, r, v in asked]
-                size = [len(o[2]) for o in out]
-                columns = [np.repeat([o[0] for o in out], size), np.repeat([o[1] for o in out], size), np.concatenate([o[2] for o in out]), np.concatenate([o[3] for o in out])]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
-
-    best = found.mapInArrow(search, "query_id long, query_row long, vec_id long, score long")
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "dims", "asks")], axis=1)
+            start = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)]))
+            for lo, hi in zip(start, np.append(start[1:], batch.num_rows), strict=True):
+                if last != tuple(at[lo, :2]):
+                    last, held = tuple(at[lo, :2]), Part(block, k)
+                piece = batch.slice(lo, hi - lo)
+                ids, v = piece.column("id").to_numpy(), piece.column("v").flatten().to_numpy().reshape(hi - lo, -1)
+                if not at[lo, 2]:
+                    held.add(ids, v)
+                    continue
+                held.close()
+                row = piece.column("row").to_numpy()
+                for some in (slice(x, x + group) for x in range(0, hi - lo, group)):
+                    found = held.best(ids[some], v[some])
+                    size = [len(x) for x, _ in found]
+                    columns = [np.repeat(ids[some], size), np.repeat(row[some], size), *(np.concatenate(x) for x in zip(*found, strict=True))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["query_id", "query_row", "vec_id", "score"])
+
+    best = work.mapInArrow(search, "query_id long, query_row long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

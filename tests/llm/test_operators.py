@@ -93,6 +93,20 @@ def test_topk_of_repeated_ids_and_large_components(spark):
         topk.exact_topk(frame.withColumn("vec_id", F.lit("x")), F.lit(True))
 
 
+def test_topk_of_many_blocks_broadcasts_nothing(spark):
+    """Queries are few before they meet the blocks: a join of them was planned as a broadcast of all their copies."""
+    rng = np.random.default_rng(6)
+    v = rng.integers(-40, 40, (3000, 6)) / 1024
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = topk.exact_topk(frame, F.col("vec_id") % 100 == 0, k=4, block=20, group=2)
+    got = found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    score = np.rint(v * 1024).astype(int) @ np.rint(v * 1024).astype(int).T
+    for q in range(0, 3000, 100):
+        want = sorted((-int(score[q, i]), i) for i in range(3000) if i != q)[:4]
+        assert sorted((r["rank"], -r.score, r.vec_id) for r in got if r.query_id == q) == [(n + 1, *x) for n, x in enumerate(want)]
+
+
 def test_near_duplicates_match_brute_force(spark, docs):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in forest.near_duplicates(docs, width=4).collect()}
     assert got[1] == (117, 1, True) and got[2] == (117, 1, False) and got[3][1] == 1
