@@ -16,10 +16,10 @@
    region in common is between two crowded rows (but for 0.36 ** trees, when no prefix is shared at all). For
    crowded rows the search is exact: two sets can only be a link if they share one of their first shingles in
    any common order (a prefix filter: the first n - ceil(s n) + 1 of the larger set, the first
-   n - ceil(2 s n / (1 + s)) + 1 of the smaller one). The order is rare shingles first, by counts in a bounded
-   number of buckets, so a passage that many texts share comes last; it decides the work, not the result.
-   Shingles of one component only are left out, places bound what two sets can share, and what remains is
-   confirmed on full sets. Components are the connected ones over all confirmed links.
+   n - ceil(2 s n / (1 + s)) + 1 of the smaller one). The order is shingles of one component only first, which lead
+   to no pair and are left out, then the others from rare to common, by counts of these in a bounded number of
+   buckets, so a passage that many texts share comes last; it decides the work, not the result. Places bound what
+   two sets can share, and what remains is confirmed on full sets. Components are the connected ones over all confirmed links.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is alone; a text of
 fewer words than a shingle is one shingle; repeated ids are grouped as one document each time they
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from corpuslens.llm.hashing import bound_batches, lean, mix, shingles, small_batches, words
-from corpuslens.llm.sieve import id_filter
+from corpuslens.llm.sieve import SENT_KEYS, id_filter
 from corpuslens.operators.components import connected_components
 from corpuslens.plans.lineage import cut, drop_table, table_path
 
@@ -48,7 +48,7 @@ from corpuslens.plans.lineage import cut, drop_table, table_path
 SMALL = 8
 #: Neighbours behind a row in a crowded region.
 BEHIND = 2
-#: Counts of shingles by hash that order them from rare to common.
+#: Counts of shared shingles by hash that order them from rare to common.
 BUCKETS = 1 << 16
 
 
@@ -88,43 +88,23 @@ def _table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def _signed(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
-    """(id, n_shingles, class, signature) of each row; besides, a row a task with n_shingles -1 and the counts of its shingles by bucket."""
+    """(id, n_shingles, class, signature) of each row."""
     seeds = _seeds(trees * depth)
     names = ["id", "n_shingles", "class", "signature"]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        counts, kind = np.zeros(BUCKETS, np.int64), None
         for batch in (part for whole in rows for part in small_batches(whole)):
-            sizes, classes, signs, kind = [], [], [], batch.column("id").type
+            sizes, classes, signs = [], [], []
             for s in shingle_sets(batch, width):
                 sizes.append(len(s))
                 classes.append(_class(s))
                 signs.append(signature(s, seeds).astype(">u4").tobytes() if len(s) else None)
-                counts += np.bincount(_bucket(s), minlength=BUCKETS)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signs, pa.binary())], names=names)
-        if kind is not None and (at := np.flatnonzero(counts)).size:
-            blob = np.stack([at, counts[at]]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names=names)
 
     return docs.select("id", "text").mapInArrow(batches, "id long, n_shingles long, class binary, signature binary")
 
 
-def _counts(signed: DataFrame) -> np.ndarray:
-    """Shingles of all texts, each text's counted once, by bucket of the hash: a table of fixed size."""
-
-    def unpack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for blob in batch.column("signature").to_pylist():
-                at, n = np.frombuffer(blob, np.int64).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["at", "n"])
-
-    found = signed.where("n_shingles < 0").select("signature").mapInArrow(unpack, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return out
-
-
 class _Regions:
     """One task's pass over the sorted signatures: hands on pairs (a, b, votes, must, a stands for a region of b, b for one of a) and crowded ids."""
 
@@ -228,74 +208,70 @@ def _forest(classes: DataFrame, trees: int, depth: int) -> tuple[DataFrame, Data
     return pairs, crowded, [pairs_path, crowded_path]
 
 
-def _up(x: float) -> int:
-    return int(np.ceil(x - 1e-9))
-
-
-def _sets(texts: DataFrame, ids: DataFrame, width: int, repeated: bool, crowded: DataFrame | None = None, counts: np.ndarray | None = None, least: float = 80) -> tuple[DataFrame, str]:
-    """(id, class, size, hashes, tokens) and the table's path: full sets of ``ids`` and, of ``crowded`` ids, the first shingles from
-    rare to common. Made again from the texts, which are not shuffled: filters of bounded size tell which ids may be among them."""
-    asked = id_filter(ids)
-    busy = None if crowded is None else id_filter(crowded)
-    sent = None if counts is None else texts.sparkSession.sparkContext.broadcast(counts)
+def _sets(texts: DataFrame, ids: DataFrame, width: int, repeated: bool, crowded: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """(id, class, size, hashes, asked, busy) and the table's path: full sets of ``ids`` (``asked``) and of ``crowded`` ids (``busy``).
+    Made again from the texts, which are not shuffled: filters of bounded size tell which ids may be among them."""
+    wanted = id_filter(ids)
+    packed = None if crowded is None else id_filter(crowded)
 
     def sets_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for whole in rows:
             x = whole.column("id").to_numpy()
-            wanted = asked(x) if busy is None else asked(x) | busy(x)
-            for batch in small_batches(whole.filter(pa.array(wanted)), limit=1 << 20):
+            for batch in small_batches(whole.filter(pa.array(wanted(x) if packed is None else wanted(x) | packed(x))), limit=1 << 20):
                 x = batch.column("id").to_numpy()
-                full, first = asked(x), np.zeros(len(x), bool) if busy is None else busy(x)
-                sizes, of, hashes, tokens = [], [], [], []
-                for k, s in enumerate(shingle_sets(batch, width)):
-                    sizes.append(len(s))
-                    of.append(_class(s))
-                    hashes.append(s.tobytes() if full[k] else None)
-                    if first[k]:
-                        order = np.lexsort((s, sent.value[_bucket(s)]))
-                        tokens.append(s[order[: len(s) - _up(least * len(s) / 100) + 1]].tobytes())
-                    else:
-                        tokens.append(None)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(of, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(tokens, pa.binary())], names=["id", "class", "size", "hashes", "tokens"])
-
-    sets = texts.where("id IS NOT NULL").mapInArrow(sets_of, "id long, class binary, size long, hashes binary, tokens binary")
+                sets = list(shingle_sets(batch, width))
+                columns = [pa.array([_class(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                columns += [pa.array(wanted(x)), pa.array(np.zeros(len(x), bool) if packed is None else packed(x))]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "class", "size", "hashes", "asked", "busy"])
+
+    sets = texts.where("id IS NOT NULL").mapInArrow(sets_of, "id long, class binary, size long, hashes binary, asked boolean, busy boolean")
     if repeated:
         sets = sets.dropDuplicates(["id", "class"])
     return _table(sets, "sets")
 
 
-def _left_over(sets: DataFrame, classes: DataFrame, found: DataFrame, least: float) -> tuple[DataFrame, str]:
-    """(a, b) and the table's path: every pair of class ids of different components of ``found`` (n, component) that the prefix filter lets pass."""
+def _left_over(sets: DataFrame, classes: DataFrame, crowded: DataFrame, found: DataFrame, least: float) -> tuple[DataFrame, str]:
+    """(a, b) and the table's path: every pair of ``crowded`` class ids of different components of ``found`` (n, component) that the prefix filter lets pass."""
     spark = sets.sparkSession
-    component = classes.join(found, F.col("id") == F.col("n"), "left").select(F.col("id").alias("of_id"), F.col("class").alias("of_class"), F.coalesce("component", "id").alias("component"))
     # copies are one row: only their class's own id stays, and a row that repeats it too counts once
-    firsts = sets.where("tokens IS NOT NULL").select("id", "class", "size", "tokens")
-    firsts = firsts.join(component, (F.col("id") == F.col("of_id")) & (F.col("class") == F.col("of_class"))).select("id", "component", "size", "tokens")
-    firsts, firsts_path = _table(firsts, "firsts")
+    component = classes.join(crowded.toDF("n"), F.col("id") == F.col("n"), "left_semi").join(found, F.col("id") == F.col("n"), "left")
+    component, component_path = _table(component.select(F.col("id").alias("of_id"), F.col("class").alias("of_class"), F.coalesce("component", "id").alias("component")), "crowded-components")
+    few = component.count() <= SENT_KEYS
+    firsts = sets.where("busy AND size > 0").join(F.broadcast(component) if few else component, (F.col("id") == F.col("of_id")) & (F.col("class") == F.col("of_class")))
+    firsts = firsts.select("id", "component", "size", "hashes")
 
     def tokens_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch in rows:
-            lists = [np.frombuffer(t, np.int64) for t in batch.column("tokens").to_pylist()]
-            size = [len(t) for t in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("component").to_numpy(), size)), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))], names=["component", "id"])
+            token = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64)
+            owner = np.repeat(batch.column("component").to_numpy(), batch.column("size").to_numpy())
+            order = np.lexsort((owner, token))
+            token, owner = token[order], owner[order]
+            first = np.ones(len(token), bool)
+            first[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(token[first])], names=["component", "id"])
 
     # shingles of one component only lead to no pair
-    shared = firsts.select("component", "tokens").mapInArrow(tokens_of, "component long, id long").groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    shared, shared_path = _table(shared.where("lo < hi").select("id"), "shared")
+    shared = firsts.select("component", "size", "hashes").mapInArrow(tokens_of, "component long, id long").groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    shared, shared_path = _table(shared.where("lo < hi").select("id", "n"), "shared")
     live = id_filter(shared)
+    often = shared.groupBy(F.shiftrightunsigned("id", 20).bitwiseAND(BUCKETS - 1).alias("at")).agg(F.sum("n").alias("n")).toArrow()  # a row a bucket
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[often.column("at").to_numpy()] = often.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast(counts)
 
     def spread(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch in rows:
-            lists = [np.frombuffer(t, np.int64) for t in batch.column("tokens").to_pylist()]
-            size = np.array([len(t) for t in lists], np.int64)
-            token, row = np.concatenate(lists) if lists else np.zeros(0, np.int64), np.repeat(np.arange(len(size)), size)
-            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            on = live(token)
-            token, row, place = token[on], row[on], place[on]
-            n = batch.column("size").to_numpy()[row]
+            token, size = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64), batch.column("size").to_numpy()
+            row, on = np.repeat(np.arange(len(size)), size), live(token.view(np.int64))
+            # the common order: shingles of one component first, then from rare to common
+            order = np.lexsort((token, np.where(on, sent.value[_bucket(token)] + 1, 0), row))
+            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)  # rows keep their places
+            n = size[row]
+            keep = on[order] & (place < n - np.ceil(least * n / 100 - 1e-9) + 1)
+            token, row, place, n = token[order][keep].view(np.int64), row[keep], place[keep], n[keep]
             index = place < n - np.ceil(2 * least * n / (100 + least) - 1e-9) + 1
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(batch.column("id").to_numpy()[row]), pa.array(batch.column("component").to_numpy()[row]), pa.array((n - place).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(index)], names=["token", "id", "component", "after", "size", "index"])
 
@@ -306,14 +282,14 @@ def _left_over(sets: DataFrame, classes: DataFrame, found: DataFrame, least: flo
     met = large.join(small, (F.col("token") == F.col("token_y")) & (F.col("component_x") != F.col("component_y")) & ((F.col("size_y") < F.col("size_x")) | ((F.col("size_y") == F.col("size_x")) & (F.col("id_y") < F.col("id_x")))))
     met = met.where((100 * F.col("size_y") >= least * F.col("size_x")) & ((100 + least) * F.least("after_x", "after_y") >= least * (F.col("size_x") + F.col("size_y"))))
     pairs = _table(met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "left-over")
-    for path in (firsts_path, shared_path, rows_path):
+    for path in (component_path, shared_path, rows_path):
         drop_table(spark, path)
     return pairs
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= least * union."""
-    full = sets.where("hashes IS NOT NULL")
+    full = sets.where("asked")
     left = full.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     right = full.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
 
@@ -349,8 +325,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed, signed_path = _table(_signed(texts, width, trees, depth), "signed")
-    rows = signed.where("n_shingles >= 0")
+    rows, _ = _table(_signed(texts, width, trees, depth), "signed")
     classes = rows.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
     classes, classes_path = _table(classes, "classes")
     pairs, crowded, paths = _forest(classes.select("id", "signature"), trees, depth)
@@ -363,14 +338,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.max_by(ends, F.struct("votes", -F.col("y"))).alias("best"), F.max_by(ends, F.struct("top", "votes", -F.col("y"))).alias("most"), F.min_by(ends, "y").alias("least")
     )
     chosen = cut(chosen.select(F.explode(F.array("best", "most", "least")).alias("p")).select("p.a", "p.b").distinct())
-    sets, sets_path = _sets(texts, _ends(chosen), width, repeated, crowded, _counts(signed), least)
+    sets, sets_path = _sets(texts, _ends(chosen), width, repeated, crowded)
     links = cut(_confirmed(chosen, sets, least))
     found = cut(connected_components(links))
 
     label = lambda side: found.select(F.col("node").alias(f"n{side}"), F.col("component").alias(f"c{side}"))
     open_ = pairs.where("must").join(label("a"), F.col("a") == F.col("na"), "left").join(label("b"), F.col("b") == F.col("nb"), "left")
     open_ = open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(chosen.toDF("pa", "pb"), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti")
-    rest, rest_path = _left_over(sets, classes, found.toDF("n", "component"), least)
+    rest, rest_path = _left_over(sets, classes, crowded, found.toDF("n", "component"), least)
     drop_table(spark, sets_path)
     both = cut(open_.unionByName(rest).distinct())
     if not both.isEmpty():

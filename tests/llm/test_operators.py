@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.llm import decontaminate, forest, language_model, main_text, mixing, token_counts, topk, toxicity, url_rules, warc
-from corpuslens.llm.hashing import words
+from corpuslens.llm.hashing import shingles, words
 
 DOCS = "doc_id long, text string, source string"
 LOREM = [f"w{(i * 7919) % 1000}" for i in range(400)]
@@ -131,6 +131,28 @@ def test_frames_lose_no_link(spark):
         assert linked == (got[a] == got[b])
 
 
+def test_rare_shingles_come_first_where_buckets_are_full(spark, monkeypatch):
+    """Texts of a common frame at 0.63; all their shingles fall into 64 buckets, so that counts of all shingles can't tell which are rare."""
+    candidates = [f"v{k}" for k in range(5_000_000)]
+    hashes = shingles(words([" ".join(candidates).encode()])[0], 1)
+    chosen = [candidates[i] for i in np.flatnonzero(forest._bucket(hashes) < 64)]
+    frame, n = chosen[:200], 75
+    assert len(chosen) > 200 + 60 * n
+    rows = [(i, " ".join(frame + chosen[200 + 60 * i : 260 + 60 * i])) for i in range(n)]
+    rows += [(n + i, " ".join(frame + chosen[200 + 60 * i : 250 + 60 * i])) for i in range(5)]  # 250 of 260 words of another
+    kept, table = {}, forest._table
+
+    def seen(df, name):
+        out = table(df, name)
+        kept[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(forest, "_table", seen)
+    got = {r.doc_id: r.component_id for r in forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=1).collect()}
+    assert got == {i: i if i < n else i - n for i, _ in rows}
+    assert kept["crowded"] > n / 2 and kept["left-over"] <= 2 * n
+
+
 def test_near_copies_in_a_large_group(spark):
     rng = np.random.default_rng(3)
     rows = []
