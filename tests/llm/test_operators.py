@@ -334,6 +334,50 @@ def test_language_model(spark, docs):
     assert language_model.score_texts(docs.limit(0)).count() == 0
 
 
+def test_rare_previous_words_have_their_own_restaurants(spark):
+    """Two words of one ending, each 6 of 40,000 tokens, are followed by different words; a shared restaurant could not tell which."""
+    from zlib import crc32
+
+    ids = [i for i in range(3000) if crc32(str(i).encode()) % 7 != 2]
+    out = [i for i in range(3000) if crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, " ".join(f"f{(i * 37 + k * k) % 500}" for k in range(100))) for i in ids[:400]]
+    rows += [(ids[400 + k], "first1ab yes" if k % 2 else "second1ab no") for k in range(12)]
+    asked = ["first1ab yes", "first1ab no", "second1ab no", "second1ab yes"]
+    rows += list(zip(out, asked, strict=False))
+    got = {r.doc_id: r for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    right, wrong = ([got[out[k]].score for k in ks] for ks in ((0, 2), (1, 3)))
+    assert min(right) > max(wrong) + 1
+    assert len(got) == len(rows) and all(got[out[k]].held_out for k in range(4))
+
+
+@pytest.mark.parametrize("head", [1 << 21, 3])
+def test_scores_by_words_are_the_models_probabilities(spark, monkeypatch, head):
+    """After every previous word the known words and the unknown one add up to 1, and a text's score is the sum over its tokens."""
+    from math import log10
+
+    monkeypatch.setattr(language_model, "HEAD_PAIRS", head)
+    texts = ["a b a c a b d", "a b b c", "c a d a b", "e f g h a b", "Unheard of a b", "b unheard", ""] * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    held = language_model.held_out(F.col("id"), 7, 2)
+    model = language_model.Restaurants(rows.where(~held), 3, 1)
+    pairs = {r.key: r.score for r in model.pairs.collect()}
+    contexts, known = {r.z: r.back for r in model.contexts.collect()}, {r.w: r.p for r in model.words.collect()}
+    training = [r.text for r in rows.where(~held).collect()]
+    word, before, _, _ = language_model.bigrams([t.encode() for t in training])
+    assert set(contexts) == set(before.view(np.int64).tolist()) and set(known) == set(word.view(np.int64).tolist())
+
+    def chance(z, w):
+        key = int(language_model.pair_key(np.array([z]).view(np.uint64), np.array([w]).view(np.uint64)).view(np.int64)[0])
+        return 10 ** pairs[key] if key in pairs else float(np.mean(np.array(contexts.get(z, [1.0] * 2)) * np.array(known.get(w, model.unseen))))
+
+    for z in [*contexts, 5]:
+        assert sum(chance(z, w) for w in known) + chance(z, 7) == pytest.approx(1, abs=1e-9)
+    for r in language_model.score_texts(docs).collect():
+        word, before, _, _ = (x.view(np.int64).tolist() for x in language_model.bigrams([texts[r.doc_id].encode()]))
+        assert r.score == pytest.approx(sum(log10(chance(z, w)) for z, w in zip(before, word, strict=True)), abs=1e-9)
+
+
 def weights_of_tables(n: int, discount: float, new: float) -> np.ndarray:
     """[t]: total weight of all seatings of n customers at t tables, by listing them."""
     out, stack = np.zeros(n + 1), [((1,), new)]
