@@ -378,6 +378,56 @@ def test_scores_by_words_are_the_models_probabilities(spark, monkeypatch, head):
         assert r.score == pytest.approx(sum(log10(chance(z, w)) for z, w in zip(before, word, strict=True)), abs=1e-9)
 
 
+def test_pairs_of_words_take_few_bytes(spark, monkeypatch):
+    """All that is written for 50,000 pairs, seatings and words included; a row for each pair took more than the disk of op7's check."""
+    import os
+
+    sizes, table = [], language_model.Restaurants._table
+
+    def measured(*args):
+        made = table(*args)
+        sizes.append(sum(os.path.getsize(os.path.join(where, f)) for where, _, files in os.walk(made[1]) for f in files if f.endswith(".parquet")))
+        return made
+
+    monkeypatch.setattr(language_model.Restaurants, "_table", staticmethod(measured))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in (5000 * rng.random(400) ** 3).astype(int)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    pairs = {x for t in texts for x in itertools.pairwise(["", *t.split(), "end"])}
+    assert len(pairs) > 50_000
+    language_model.Restaurants(docs, 3, 1)
+    assert sum(sizes) < 20 * len(pairs)
+
+
+def test_scores_do_not_depend_on_chunks_parts_and_known_words(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in (200 * rng.random(int(n)) ** 2).astype(int)) for n in rng.integers(0, 60, 60)]
+    docs = spark.createDataFrame([*enumerate([*texts, None, " "]), (7, texts[7]), (None, texts[8])], "doc_id long, text string").repartition(3)
+    scored = lambda: sorted(((-1 if r.doc_id is None else r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 8), round(r.score, 8)) for r in language_model.score_texts(docs).collect())
+    want = scored()
+    assert len(want) == 64 and any(r[1] for r in want)
+    for chunk, texts_, part, head in ((50, 1 << 15, 4, 1 << 21), (1 << 21, 4, 21, 100)):
+        for name, value in (("CHUNK", chunk), ("TEXTS", texts_), ("PART", part), ("HEAD_PAIRS", head)):
+            monkeypatch.setattr(language_model, name, value)
+        assert scored() == want
+
+
+def test_without_training_rows_every_text_has_the_uniform_base(spark):
+    from zlib import crc32
+
+    out = [i for i in range(100) if crc32(str(i).encode()) % 7 == 2]
+    rows = language_model.score_texts(spark.createDataFrame([(i, "a b a") for i in out], "doc_id long, text string")).collect()
+    assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows] == [(True, 4, 0, 0, 0.0, 0.0)] * len(out)
+
+
+def test_packed_pairs_come_back():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5000):
+        pairs = np.unique(rng.integers(0, 50, n).astype(np.uint64) << np.uint64(32) | rng.integers(0, 1 << 31, n).astype(np.uint64))
+        z, w, other = language_model.unpack(language_model.pack(*language_model._steps(pairs), np.arange(n) * 0.5))
+        assert (language_model._from_steps(z, w) == pairs).all() and (other == np.arange(n) * 0.5).all()
+
+
 def weights_of_tables(n: int, discount: float, new: float) -> np.ndarray:
     """[t]: total weight of all seatings of n customers at t tables, by listing them."""
     out, stack = np.zeros(n + 1), [((1,), new)]
