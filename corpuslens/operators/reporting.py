@@ -111,17 +111,18 @@ def claim_lint(rows: DataFrame, ident: str, text: str) -> DataFrame:
     lines = F.filter(F.split(F.col(text), "\n"), lambda line: ~F.ltrim(line).startswith(">"))
     parts = F.flatten(F.transform(lines, lambda line: F.split(line, r"(?<=[.!?])\s+")))
     per = rows.select(ident, F.explode(parts).alias("s"))
-    # a claim counts unless a negation stands in the 60 characters before it
+    # a claim counts unless a negation stands in the 60 characters before it; each search begins where the last one ended,
+    # so a sentence is read once, and only the last 60 characters of what was read are carried on
     counts = []
     for category, pattern in CLAIMS:
-        pairs = F.regexp_extract_all("s", F.lit(rf"(?i)(.*?)({pattern})"), F.lit(0))
-        starts = F.transform(pairs, lambda p: F.length(p))
-        ends = F.transform(F.sequence(F.lit(1), F.size(starts)), lambda k: F.aggregate(F.slice(starts, F.lit(1), k), F.lit(0), lambda a, x: a + x))
-        ends = F.when(F.size(starts) > 0, ends).otherwise(F.array().cast("array<int>"))
-        phrase = lambda k: F.length(F.regexp_extract(F.element_at(pairs, k), rf"(?i)({pattern})$", 1))  # noqa: E731, B023
-        before = F.transform(ends, lambda e, k: F.substring(F.col("s"), F.greatest(F.lit(1), e - phrase(k + 1) - 59), F.least(F.lit(60), e - phrase(k + 1))))  # noqa: B023
-        counts.append(F.struct(F.lit(category).alias("category"), F.size(F.filter(before, lambda x: ~x.rlike(f"(?i){NEGATION}"))).alias("n")))
-    return per.select(ident, F.inline(F.array(*counts))).groupBy(ident, "category").agg(F.sum("n").alias("n")).where("n > 0")
+        found = [F.regexp_extract_all("s", F.lit(rf"(?is)\G(.*?)(?:{pattern})"), F.lit(k)) for k in (0, 1)]
+        pairs = F.zip_with(*found, lambda whole, gap: F.struct(whole.alias("whole"), gap.alias("gap")))
+        none = F.struct(F.lit("").alias("before"), F.lit(0).alias("n"))
+        free = lambda seen, p: (~F.right(F.concat(seen["before"], p["gap"]), F.lit(60)).rlike(f"(?i){NEGATION}")).cast("int")
+        step = lambda seen, p: F.struct(F.right(F.concat(seen["before"], p["whole"]), F.lit(60)).alias("before"), (seen["n"] + free(seen, p)).alias("n"))  # noqa: E731, B023
+        n = F.when(F.col("s").rlike(f"(?i){pattern}"), F.aggregate(pairs, none, step, lambda seen: seen["n"])).otherwise(0)
+        counts.append(F.struct(F.lit(category).alias("category"), n.alias("n")))
+    return per.select(ident, F.inline(F.filter(F.array(*counts), lambda c: c["n"] > 0))).groupBy(ident, "category").agg(F.sum("n").alias("n"))
 
 
 def unlinked_claims(markdown: str, deals: Sequence[str], host: str, zero_state: str) -> list[tuple[str, str]]:

@@ -1,5 +1,7 @@
+import collections
 import io
 import itertools
+import time
 import zipfile
 
 import numpy as np
@@ -77,6 +79,17 @@ def test_claim_lint_agrees_with_claim_issues(spark):
     assert got == want
 
 
+def test_claim_lint_reads_a_long_sentence_once(spark):
+    plain = "word and word " * 4000
+    texts = [plain, plain + "it proves a case", plain + "it never proves, it drives pay " + plain + "which it causes"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    began = time.time()
+    got = {(r.i, r.category): r.n for r in R.claim_lint(rows, "i", "t").collect()}
+    assert got == {(1, "unsupported_certainty"): 1, (2, "causal"): 1}
+    assert got == collections.Counter((i, c) for i, t in enumerate(texts) for c, *_ in R.claim_issues(t))
+    assert time.time() - began < 60  # a search from every character would take many minutes
+
+
 def test_pictures_and_tables(spark):
     svg = R.cloud_svg([("pay", 9), ("bonus", 4), ("<b>", 1)])
     assert svg == R.cloud_svg([("<b>", 1), ("bonus", 4), ("pay", 9)]) and "&lt;b&gt;" in svg and svg.count("<text") == 3
