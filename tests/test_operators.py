@@ -18,6 +18,7 @@ from corpuslens.operators import reviews as V
 from corpuslens.operators import screening as S
 from corpuslens.operators import topic_models as M
 from corpuslens.operators import topics as P
+from corpuslens.operators import wording as W
 from corpuslens.sources import registers as G
 
 
@@ -90,6 +91,22 @@ def test_claim_lint_reads_a_long_sentence_once(spark):
     assert time.time() - began < 60  # a search from every character would take many minutes
 
 
+def test_texts_without_a_terms_words_meet_no_pattern_and_no_match_is_lost(spark):
+    terms = sorted({t for v in X.LEXICONS.values() for t in v} | {*X.TONE_HEDGES, *X.TONE_NEGATIVE, *X.TONE_PROTECTIONS})
+    odd = {"s": "ſ", "i": "ı", "k": "K"}
+    shapes = [lambda t: t, str.upper, lambda t: t.replace("i", "İ"), lambda t: "".join(odd.get(c, c) for c in t), lambda t: t.replace(" ", "-"), lambda t: f"x{t}"]
+    rows = spark.createDataFrame([(t, f"({f(t)}), {f(t)}.") for t in terms for f in shapes] + [(terms[0], None)], "term string, t string")
+    for flexible in (False, True):
+        pairs = [(F.regexp_count("t", F.lit(W.whole(t, flexible=flexible))), W.T.may_hold(W.T.folded(F.col("t")), t)) for t in terms]
+        for lo in range(0, len(terms), 40):
+            lost = rows.agg(*(F.count_if((n > 0) & ~held) for n, held in pairs[lo : lo + 40])).first()
+            assert not any(lost)
+    counted = rows.select(W.occurrences(F.col("t"), ("risk", "stay bonus"), flexible=True).alias("n"), "term").where("n > 0")
+    assert {r.term for r in counted.collect()} == {"risk", "stay bonus"}
+    plan = rows.select(W.occurrences(F.col("t"), ("risk",)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan and "Contains" in plan
+
+
 def test_pictures_and_tables(spark):
     svg = R.cloud_svg([("pay", 9), ("bonus", 4), ("<b>", 1)])
     assert svg == R.cloud_svg([("<b>", 1), ("bonus", 4), ("pay", 9)]) and "&lt;b&gt;" in svg and svg.count("<text") == 3
