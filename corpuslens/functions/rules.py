@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +46,11 @@ def all_matches(rules: Iterable[tuple[str, Column]]) -> Column:
     return F.filter(F.array(*(F.when(holds, name) for name, holds in rules)), lambda r: r.isNotNull())
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def mapped(value: Column, table: dict[str, str], otherwise: Column | None = None) -> Column:
     """A literal map, with a fallback for other values."""
     lookup = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))

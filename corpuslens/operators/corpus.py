@@ -14,7 +14,9 @@ from pyspark.sql.types import StringType
 from corpuslens.functions import fixed as X
 from corpuslens.functions import text as T
 from corpuslens.functions.ids import stable_id
+from corpuslens.functions.rules import bound
 from corpuslens.operators.documents import carry_heading, char_offsets, html_blocks, paragraphs, split_long
+from corpuslens.plans.lineage import written
 
 
 @F.pandas_udf(StringType())
@@ -56,32 +58,40 @@ def document_blocks(docs: DataFrame, ident: str, text: str, *, most_words: int =
 
 def screen_terms(text: Column, terms: Sequence[str] = X.SCREEN_TERMS) -> Column:
     """The terms that stand in the text as whole words or phrases, in the order given."""
-    return F.filter(F.array(*(F.when(F.lower(text).rlike(T.phrase_pattern(t, every=False)), F.lit(t)) for t in terms)), lambda t: t.isNotNull())
+    found = lambda low: F.array(*(F.when(T.may_hold(low, t) & low.rlike(T.phrase_pattern(t, every=False)), F.lit(t)) for t in terms))
+    return F.filter(bound(F.lower(text), found), lambda t: t.isNotNull())
 
 
-def passages(blocks: DataFrame, docs: DataFrame, ident: str, *, terms: Sequence[str] = X.SCREEN_TERMS, context: int = 0) -> DataFrame:
-    """Candidate passages: matched blocks with ``context`` blocks of the same heading around, overlapping ranges merged.
-
-    ``docs`` holds one row a document with ``ident`` and columns to carry. Adds heading, block and character range, text,
-    screen_terms (of heading and text), token_count and content_sha256 (of the text alone, so that renditions meet).
-    """
-    if context < 0:
-        raise ValueError("context cannot be negative")
+def _ranges(blocks: DataFrame, ident: str, matched: Column, context: int) -> DataFrame:
+    """(ident, block_start, block_end, heading, char_start, char_end, text): matched blocks with those around them."""
     order = Window.partitionBy(ident).orderBy("block_index")
     changed = F.coalesce((~F.col("heading").eqNullSafe(F.lag("heading").over(order))).cast("int"), F.lit(1))
     runs = blocks.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(order)).drop("_changed")
     span = Window.partitionBy(ident, "_run")
     hit = runs.withColumns({"_lo": F.greatest(F.col("block_index") - context, F.min("block_index").over(span)), "_hi": F.least(F.col("block_index") + context, F.max("block_index").over(span))})
-    hit = hit.where(F.size(screen_terms(F.col("text"), terms)) > 0)
+    hit = hit.where(matched)
     before = Window.partitionBy(ident, "_run").orderBy("_lo", "block_index").rowsBetween(Window.unboundedPreceding, -1)
     fresh = (F.col("_lo") > F.coalesce(F.max("_hi").over(before), F.lit(-1))).cast("int")
     island = F.sum("_fresh").over(Window.partitionBy(ident, "_run").orderBy("_lo", "block_index"))
     ranges = hit.withColumn("_fresh", fresh).withColumn("_island", island).groupBy(F.col(ident).alias("_doc"), "_run", "_island").agg(F.min("_lo").alias("block_start"), F.max("_hi").alias("block_end"))
     inside = runs.drop("_run").join(ranges.drop("_run"), (F.col(ident) == F.col("_doc")) & F.col("block_index").between(F.col("block_start"), F.col("block_end")))
     ordered = F.array_sort(F.collect_list(F.struct("block_index", "text")))
-    made = inside.groupBy(ident, "block_start", "block_end").agg(
+    return inside.groupBy(ident, "block_start", "block_end").agg(
         F.min_by("heading", "block_index").alias("heading"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.concat_ws("\n", F.transform(ordered, lambda b: b["text"])).alias("text")
     )
+
+
+def passages(blocks: DataFrame, docs: DataFrame, ident: str, *, terms: Sequence[str] = X.SCREEN_TERMS, context: int = 0) -> DataFrame:
+    """Candidate passages: matched blocks with ``context`` blocks of the same heading around, overlapping ranges merged.
+
+    ``docs`` holds one row a document with ``ident`` and columns to carry. Adds heading, block and character range, text,
+    screen_terms (of heading and text), token_count and content_sha256 (of the text alone, so that renditions meet).
+    """
+    if context < 0:
+        raise ValueError("context cannot be negative")
+    matched = F.size(screen_terms(F.col("text"), terms)) > 0
+    # without context a matched block is a passage of its own, and no block needs its neighbours
+    made = blocks.where(matched).select(ident, F.col("block_index").alias("block_start"), F.col("block_index").alias("block_end"), "heading", "char_start", "char_end", "text") if context == 0 else _ranges(blocks, ident, matched, context)
     titled = F.concat_ws("\n", F.when(~structural_heading(F.col("heading")), F.col("heading")), F.col("text"))
     out = made.withColumns({"analysis_text": titled, "token_count": T.token_count(F.col("text")), "content_sha256": F.sha2(display_text("text"), 256)})
     return out.withColumn("screen_terms", screen_terms(F.col("analysis_text"), terms)).join(docs, ident)
@@ -92,13 +102,15 @@ def deduplicated(candidates: DataFrame, order: Sequence[str], *, deal: str, docu
 
     Of equal texts a candidate with a real heading is canonical, then the least by ``order``.
     """
-    same = Window.partitionBy("content_sha256")
     furniture = F.col("heading").isNull() | structural_heading(F.col("heading"))
-    rows = candidates.withColumns({"passage_id": F.concat(F.lit("passage_"), F.substring("content_sha256", 1, 16)), "duplicate_group_id": F.concat(F.lit("duplicate_"), F.substring("content_sha256", 1, 16))})
-    ranked = rows.withColumns({"occurrence_count": F.count(F.lit(1)).over(same), "_n": F.row_number().over(same.orderBy(furniture, *order))})
+    # both results are of the same candidates, which cost far more to make than to keep
+    rows = written(candidates.withColumns({"passage_id": F.concat(F.lit("passage_"), F.substring("content_sha256", 1, 16)), "duplicate_group_id": F.concat(F.lit("duplicate_"), F.substring("content_sha256", 1, 16))}), "candidates")
+    # an aggregate with partial results: a text that stands in every document is no task's window
+    first = F.min_by(F.struct(*(F.col(c) for c in rows.columns if c != "content_sha256")), F.struct(furniture.alias("_furniture"), *order))
+    canonical = rows.groupBy("content_sha256").agg(first.alias("_r"), F.count(F.lit(1)).alias("occurrence_count"))
     occurrence = stable_id("occurrence_", "passage_id", deal, document, "block_start", "block_end")
     occurrences = rows.select(occurrence.alias("occurrence_id"), "passage_id", *dict.fromkeys([deal, document, *order]), "heading", *(c for c in ("block_end", "char_start", "char_end") if c not in order))
-    return ranked.where("_n = 1").drop("_n"), occurrences
+    return canonical.select(*(F.col(c) if c == "content_sha256" else F.col(f"_r.{c}").alias(c) for c in rows.columns), "occurrence_count"), occurrences
 
 
 def occurrence_status(occurrences: DataFrame, canonical: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -46,6 +46,25 @@ def test_passages_merge_inside_a_heading_and_equal_texts_keep_a_real_heading(spa
         C.representative_sources(occurrences, canonical.where("doc = 1"), "deal", [F.col("doc")]).collect()
 
 
+def test_equal_texts_are_no_window_and_candidates_are_made_once(spark):
+    blocks = [(d, k, None if (d + k) % 3 else "Pay", "the severance plan" if k % 2 else f"wages {d} {k}" if d % 2 else "weather", 20 * k, 20 * k + 18) for d in range(20) for k in range(4)]
+    frame = spark.createDataFrame(blocks, "doc int, block_index int, heading string, text string, char_start long, char_end long")
+    docs = spark.createDataFrame([(d, d // 2) for d in range(20)], "doc int, deal int")
+    matched = F.size(C.screen_terms(F.col("text"))) > 0
+    found = C.passages(frame, docs, "doc")
+    ranges = C._ranges(frame, "doc", matched, 0)
+    assert sorted(map(tuple, found.select(ranges.columns).fillna("").collect())) == sorted(map(tuple, ranges.fillna("").collect()))
+    canonical, occurrences = C.deduplicated(found, ["deal", "doc", "block_start", "block_end"], deal="deal", document="doc")
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (canonical, occurrences)]
+    assert not any("Window" in p or "rlike" in p.lower() and "severance" in p for p in plans)
+    rows = found.collect()
+    best = {}
+    for r in sorted(rows, key=lambda r: (r.heading is None, r.deal, r.doc, r.block_start)):
+        best.setdefault(r.content_sha256, (r.deal, r.doc, r.block_start, sum(x.content_sha256 == r.content_sha256 for x in rows)))
+    assert {r.content_sha256: (r.deal, r.doc, r.block_start, r.occurrence_count) for r in canonical.collect()} == best
+    assert occurrences.count() == len(rows) and max(n for *_, n in best.values()) == 40
+
+
 def test_hits_need_an_anchor_in_their_paragraph(spark):
     text = "Orion builds machine learning tools.\n\nElsewhere deep learning is common; robotics too."
     rows = spark.createDataFrame([(1, text, "Orion Labs Inc"), (2, text, "AI Data Labs"), (3, None, "Orion")], "id int, text string, name string")
