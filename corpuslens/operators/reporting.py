@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.functions.rules import all_matches
+from corpuslens.functions.rules import all_matches, bound
 
 # Patterns of claims that prose must not make, and of a negation before them.
 CLAIMS = (
@@ -56,33 +56,43 @@ def passage_lint(text: Column, heading: Column | None = None) -> Column:
     """Why a passage should not stand for a topic: every reason that holds, in order; empty for a substantive one."""
     body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     whole = body if heading is None else F.trim(F.concat_ws(" ", F.coalesce(heading, F.lit("")), body))
+    return bound(F.struct(body.alias("body"), whole.alias("whole")), lambda t: _lint(t["body"], t["whole"]))
+
+
+def _lint(body: Column, whole: Column) -> Column:
+    """The reasons of ``passage_lint``; what several of them need is found once, the rest only where its rule comes to it."""
     b, w = (lambda key: body.rlike(f"(?i){LINT[key]}")), (lambda key: whole.rlike(f"(?i){LINT[key]}"))
     words, numbers = F.regexp_count(body, F.lit(LINT["word"])), F.regexp_count(body, F.lit(LINT["number"]))
-    signal, acts = w("high_signal"), b("deal_action")
     arranged = b("arrangement") | b("benefit") | (b("equity_subject") & b("equity_treatment"))
-    return all_matches(
-        [
-            ("too_short", (words < 12) & ~signal),
-            ("call_transcript_noise", w("call")),
-            ("generic_accounting_noise", w("accounting_report") | (w("accounting") & ~b("arrangement_detail"))),
-            ("title_or_contact_block", w("title") & ~b("action")),
-            ("privacy_or_ip_noise", w("privacy")),
-            ("non_human_retain_use", w("retain_use") & ~b("human")),
-            ("generic_risk_boilerplate", w("risk") & ~arranged),
-            ("generic_legal_boilerplate", w("party_list") & ~acts),
-            ("generic_financial_metric", w("metric") & ~acts),
-            ("definition_or_proxy_noise", w("definition")),
-            ("generic_litigation_language", w("litigation") & ~acts),
-            ("proxy_interest_or_counsel_noise", w("counsel")),
-            ("aggregate_securities_valuation", w("valuation") & ~b("human")),
-            ("no_employee_arrangement_evidence", ~arranged & ~signal),
-            ("no_human_capital_subject", ~b("human") & ~arranged),
-            ("no_acquisition_employee_context", ~w("deal_context") & ~signal),
-            ("numeric_table_noise", (numbers >= 8) & (numbers > words / 3) & ~acts),
-            ("no_substantive_employee_language", ~w("language")),
-            ("no_substantive_action", ~b("action") & ~signal),
-        ]
-    )
+    shared = {"words": words, "numbers": numbers, "signal": w("high_signal"), "acts": b("deal_action"), "arranged": arranged, "human": b("human"), "action": b("action")}
+
+    def reasons(x: Column) -> Column:
+        words, numbers, signal, acts, arranged, human, action = (x[k] for k in shared)
+        return all_matches(
+            [
+                ("too_short", (words < 12) & ~signal),
+                ("call_transcript_noise", w("call")),
+                ("generic_accounting_noise", w("accounting_report") | (w("accounting") & ~b("arrangement_detail"))),
+                ("title_or_contact_block", ~action & w("title")),
+                ("privacy_or_ip_noise", w("privacy")),
+                ("non_human_retain_use", ~human & w("retain_use")),
+                ("generic_risk_boilerplate", ~arranged & w("risk")),
+                ("generic_legal_boilerplate", ~acts & w("party_list")),
+                ("generic_financial_metric", ~acts & w("metric")),
+                ("definition_or_proxy_noise", w("definition")),
+                ("generic_litigation_language", ~acts & w("litigation")),
+                ("proxy_interest_or_counsel_noise", w("counsel")),
+                ("aggregate_securities_valuation", ~human & w("valuation")),
+                ("no_employee_arrangement_evidence", ~arranged & ~signal),
+                ("no_human_capital_subject", ~human & ~arranged),
+                ("no_acquisition_employee_context", ~signal & ~w("deal_context")),
+                ("numeric_table_noise", (numbers >= 8) & (numbers > words / 3) & ~acts),
+                ("no_substantive_employee_language", ~w("language")),
+                ("no_substantive_action", ~action & ~signal),
+            ]
+        )
+
+    return bound(F.struct(*(v.alias(k) for k, v in shared.items())), reasons)
 
 
 def representatives(assigned: DataFrame, topic: str, ident: str, text: str, weight: str, *, heading: str | None = None, most: int = 3) -> DataFrame:

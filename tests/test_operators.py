@@ -126,6 +126,15 @@ def test_texts_without_a_terms_words_meet_no_pattern_and_no_match_is_lost(spark)
     assert "CASE WHEN" in plan and "Contains" in plan
 
 
+def test_passage_lint_finds_what_rules_share_once(spark):
+    rows = spark.createDataFrame([("Pay", "Key  employees receive a retention bonus upon closing."), (None, "Revenue  12 13 14 15 16 17 18 19"), ("Privacy", None)], "h string, t string")
+    frame = rows.select(R.passage_lint(F.col("t"), F.col("h")).alias("r"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2 and plan.count("upon closing|will receive") == 1 and plan.count("employee|employees|worker|workers|executive|executives|founder") == 1
+    got = [r.r for r in frame.collect()]
+    assert got[0] == [] and "numeric_table_noise" in got[1] and got[2][:2] == ["too_short", "privacy_or_ip_noise"]
+
+
 def test_pictures_and_tables(spark):
     svg = R.cloud_svg([("pay", 9), ("bonus", 4), ("<b>", 1)])
     assert svg == R.cloud_svg([("<b>", 1), ("bonus", 4), ("pay", 9)]) and "&lt;b&gt;" in svg and svg.count("<text") == 3
