@@ -23,10 +23,18 @@ HITS = _rows(label=StringType, matched=StringType, weight=IntegerType, excerpt=S
 ANCHORS = _rows(start=IntegerType, end=IntegerType, paragraph=IntegerType)
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
 _PARAGRAPH = re.compile(r"\n[\t  ]*\n+")
-_PATTERNS = [(p, w, re.compile(p, re.IGNORECASE)) for p, w in X.AI_PATTERNS]
+#: Each pattern with the longest run of letters that stands in all its matches.
+_PATTERNS = [(p, w, re.compile(p, re.IGNORECASE), max(re.split(r"\\[bs]\*?|\(.*\)\??|\[.*?\]\*?|/", p), key=len)) for p, w in X.AI_PATTERNS]
+#: The four other letters that a pattern without case takes for ASCII ones.
+_FOLD = str.maketrans("İſıK", "isik")
 _TALENT = [re.compile(p, re.IGNORECASE) for p in (X.TALENT_JOIN, X.JOIN_TALENT)]
 
 
+def _folded(text: str) -> str:
+    """In lower case: whatever a pattern without case finds in the text, its letters stand here."""
+    return text.lower() if text.isascii() else text.translate(_FOLD).lower()
+
+
 def _short(text: str, most: int = 400) -> str:
     plain = " ".join(text.split())
     return plain if len(plain) <= most else plain[: most - 3].rstrip() + "..."
@@ -48,11 +56,16 @@ def _paragraph_of(text: str):
 def text_hits(text: str | None) -> list[dict]:
     """Every hit of the weighted patterns inside a sentence: the heaviest first, then by place and pattern."""
     text = text or ""
+    low = _folded(text)
+    likely = [p for p in _PATTERNS if p[-1] in low]
+    if not likely:
+        return []
     paragraph, found = _paragraph_of(text), []
     for lo, hi in sentence_spans(text):
         sentence = text[lo:hi]
-        for label, weight, pattern in _PATTERNS:
-            for m in pattern.finditer(sentence):
+        low = _folded(sentence)
+        for label, weight, pattern, part in likely:
+            for m in pattern.finditer(sentence) if part in low else ():
                 found.append({"label": label, "matched": m[0].lower(), "weight": weight, "excerpt": _short(sentence), "start": lo + m.start(), "end": lo + m.end(), "paragraph": paragraph(lo + m.start())})
     return sorted(found, key=lambda h: (-h["weight"], h["start"], h["label"]))
 
@@ -60,8 +73,11 @@ def text_hits(text: str | None) -> list[dict]:
 def text_anchors(text: str | None, names: list[str] | None) -> list[dict]:
     """Where any of the names stands as a whole word."""
     text = text or ""
+    low = _folded(text)
+    found = [m for n in names or () if not n.isascii() or _folded(n) in low for m in re.finditer(rf"(?<!\w){re.escape(n)}(?!\w)", text, re.IGNORECASE)]
+    if not found:
+        return []
     paragraph = _paragraph_of(text)
-    found = [m for n in names or () for m in re.finditer(rf"(?<!\w){re.escape(n)}(?!\w)", text, re.IGNORECASE)]
     return [{"start": m.start(), "end": m.end(), "paragraph": paragraph(m.start())} for m in found]
 
 
@@ -135,9 +151,11 @@ def talent_signals(docs: DataFrame, text: str) -> DataFrame:
 
 def document_screen(docs: DataFrame, text: str, target: str | None = None) -> DataFrame:
     """Adds hits (those linked to the target's name if one is given), total_weight, distinct_terms and qualifies."""
-    rows = docs.withColumn("hits", ai_hits(text))
-    if target is not None:
-        rows = rows.withColumn("_anchors", anchors_at(F.col(text), target_anchors(F.col(target)))).withColumn("hits", linked_hits(F.col("hits"), F.col("_anchors"))).drop("_anchors")
+    if target is None:
+        rows = docs.withColumn("hits", ai_hits(text))
+    else:
+        # the text goes to Python once for both
+        rows = docs.withColumns({"hits": ai_hits(text), "_anchors": anchors_at(F.col(text), target_anchors(F.col(target)))}).withColumn("hits", linked_hits(F.col("hits"), F.col("_anchors"))).drop("_anchors")
     return rows.withColumn("_s", screened(F.col("hits"))).select("*", "_s.*").drop("_s")
 
 

@@ -1,6 +1,7 @@
 import collections
 import io
 import itertools
+import re
 import time
 import zipfile
 
@@ -76,6 +77,17 @@ def test_hits_need_an_anchor_in_their_paragraph(spark):
     assert all(text[h.start : h.end].lower() == h.matched for h in free.hits)
 
 
+def test_no_hit_is_lost_where_patterns_are_left_out(monkeypatch):
+    phrases = ["AI/ML", "ai / ml", "AI-powered", "Aİ models", "a\u0131 platform", "robotic\u017f", "Robotics", "LLMs", "\u212aing of machine learning", "deep  learning", "Self-Driving", "air", "ΣΑΣ"]
+    for text in [". ".join(p) for n in (1, 2) for p in itertools.permutations(phrases, n)]:
+        want = [(lo + m.start(), lo + m.end(), label) for lo, hi in S.sentence_spans(text) for label, _, pattern, _ in S._PATTERNS for m in pattern.finditer(text[lo:hi])]
+        assert sorted((h["start"], h["end"], h["label"]) for h in S.text_hits(text)) == sorted(want)
+        names = ["ai", "robotics", "king", "σας"]
+        assert [(a["start"], a["end"]) for a in S.text_anchors(text, names)] == [m.span() for n in names for m in re.finditer(rf"(?<!\w){n}(?!\w)", text, re.IGNORECASE)]
+    monkeypatch.setattr(S, "sentence_spans", None)  # a text without any pattern's letters is not cut into sentences
+    assert S.text_hits("The weather was mild. " * 9) == []
+
+
 def test_joining_excerpts_are_sentences(spark):
     rows = spark.createDataFrame([("It rained. Our engineers will join the group. Done.",), ("Nothing here.",)], "t string")
     got = [r.join_excerpts for r in S.talent_signals(rows, "t").collect()]
