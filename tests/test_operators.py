@@ -14,6 +14,7 @@ from corpuslens.operators import architecture as A
 from corpuslens.operators import corpus as C
 from corpuslens.operators import documents as D
 from corpuslens.operators import eligibility as E
+from corpuslens.operators import relational as O
 from corpuslens.operators import reporting as R
 from corpuslens.operators import reviews as V
 from corpuslens.operators import screening as S
@@ -147,6 +148,17 @@ def test_passage_lint_finds_what_rules_share_once(spark):
     assert got[0] == [] and "numeric_table_noise" in got[1] and got[2][:2] == ["too_short", "privacy_or_ip_noise"]
 
 
+def test_seeds_of_one_fallback_key_are_dealt_to_many_tasks(spark):
+    seeds = spark.range(400).select("id", F.concat(F.lit("t"), "id").alias("tick"), F.when(F.col("id") % 4 > 0, F.lit(7)).alias("nk")).coalesce(1)
+    registry = spark.createDataFrame([("t9", 7, 1), ("x", 7, 2), ("y", 7, 3), ("t8", None, 4), ("z", 5, 5)], "tick_ string, nk_ int, v int").coalesce(1)
+    want = sorted([(8, 4, "exact_tick"), (9, 1, "exact_tick")] + [(i, v, "exact_nk") for i in range(400) if i % 4 and i != 9 for v in (1, 2, 3)] + [(i, -1, "unresolved") for i in range(0, 400, 4) if i != 8])
+    for most in (0, 100):
+        found = O.resolve_entities(seeds, registry, seed_id="id", first=("tick", "tick_"), fallback=("nk", "nk_"), value="v", most_sent=most)
+        assert sorted(map(tuple, found.fillna(-1).collect())) == want
+        held = found.withColumn("p", F.spark_partition_id()).where("method = 'exact_nk'").groupBy("p").count().collect()
+        assert len(held) >= 4 and max(r["count"] for r in held) < 600
+
+
 def test_pictures_and_tables(spark):
     svg = R.cloud_svg([("pay", 9), ("bonus", 4), ("<b>", 1)])
     assert svg == R.cloud_svg([("<b>", 1), ("bonus", 4), ("pay", 9)]) and "&lt;b&gt;" in svg and svg.count("<text") == 3
