@@ -159,6 +159,17 @@ def test_seeds_of_one_fallback_key_are_dealt_to_many_tasks(spark):
         assert len(held) >= 4 and max(r["count"] for r in held) < 600
 
 
+def test_grams_are_counted_from_one_shuffle_of_pairs(spark):
+    texts = ["a b a b a", "b", "", None, "a a a a", "b a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = P.gram_counts(docs, F.filter(F.split("t", " "), lambda w: w != ""), 2)
+    want = collections.Counter()
+    for words in ((t or "").split() for t in texts):
+        want.update([*words, *(" ".join(p) for p in itertools.pairwise(words))])
+    assert sorted(map(tuple, found.collect())) == sorted((g, n) for g, n in want.items() if n >= 2)
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pictures_and_tables(spark):
     svg = R.cloud_svg([("pay", 9), ("bonus", 4), ("<b>", 1)])
     assert svg == R.cloud_svg([("<b>", 1), ("bonus", 4), ("pay", 9)]) and "&lt;b&gt;" in svg and svg.count("<text") == 3
