@@ -170,6 +170,16 @@ def test_grams_are_counted_from_one_shuffle_of_pairs(spark):
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sets_of_shingles_are_made_once(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, base), (2, base), (3, base + " end"), (4, "other words here today"), (5, ""), (6, None), (7, "one two")], "i int, t string")
+    tokens = F.filter(F.split("t", " "), lambda w: w != "")
+    found = D.near_duplicate_families(docs, "i", tokens)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 1), (5, 5, 1), (6, 6, 1), (7, 7, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "array_sort" not in plan  # what is left reads ids and digests
+
+
 def test_pictures_and_tables(spark):
     svg = R.cloud_svg([("pay", 9), ("bonus", 4), ("<b>", 1)])
     assert svg == R.cloud_svg([("<b>", 1), ("bonus", 4), ("pay", 9)]) and "&lt;b&gt;" in svg and svg.count("<text") == 3
