@@ -180,6 +180,15 @@ def test_sets_of_shingles_are_made_once(spark):
     assert "transform(" not in plan and "array_sort" not in plan  # what is left reads ids and digests
 
 
+def test_rows_of_the_topic_fit_are_made_once(spark):
+    matrix = spark.createDataFrame([(d, t, 0.5 + 0.01 * d) for d in range(12) for t in (("pay", "bonus") if d % 2 else ("code", "model"))], "i int, term string, value double")
+    assigned, topics = P.fit_topics(matrix, "i", k=2, terms=["pay", "bonus", "code", "model"])
+    plan = assigned._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Aggregate" not in plan
+    best = {r.i: r.topic for r in assigned.where("is_primary").collect()}
+    assert len(best) == 12 and len({best[i] for i in range(0, 12, 2)}) == len({best[i] for i in range(1, 12, 2)}) == 1 and best[0] != best[1]
+
+
 def test_pictures_and_tables(spark):
     svg = R.cloud_svg([("pay", 9), ("bonus", 4), ("<b>", 1)])
     assert svg == R.cloud_svg([("<b>", 1), ("bonus", 4), ("pay", 9)]) and "&lt;b&gt;" in svg and svg.count("<text") == 3
